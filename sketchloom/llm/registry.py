@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sketchloom.llm import line_dedup, secret_scan
+from sketchloom.llm import decontaminate, line_dedup, secret_scan
 
 OPERATORS = {
+    "op5_decontaminate": decontaminate,
     "op6_secret_scan": secret_scan,
     "op9_line_dedup": line_dedup,
 }
