@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +49,22 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end], for uint64 values, by differences of prefix sums."""
+def range_hash_sums(values: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives 64-bit hashes of values[start:end], for uint64 values, by differences of prefix sums."""
     up, down = powers(max(len(values), 1))
     sums = np.empty(len(values) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(values * up[: len(values)], out=sums[1:])
-    where = np.minimum(starts, max(len(values) - 1, 0))
-    return mix((sums[ends] - sums[starts]) * down[where] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        where = np.minimum(starts, max(len(values) - 1, 0))
+        return mix((sums[ends] - sums[starts]) * down[where] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    return hashes
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return range_hash_sums(values)(starts, ends)
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sketchloom.llm import decontaminate, line_dedup, secret_scan
+from sketchloom.llm import decontaminate, line_dedup, packing, quality, secret_scan
 
 OPERATORS = {
+    "op3_packing": packing,
     "op5_decontaminate": decontaminate,
     "op6_secret_scan": secret_scan,
+    "op7_quality": quality,
     "op9_line_dedup": line_dedup,
 }
 
