@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sketchloom.llm import decontaminate, line_dedup, packing, quality, secret_scan
+from sketchloom.llm import decontaminate, line_dedup, packing, quality, secret_scan, vp_search
 
 OPERATORS = {
     "op3_packing": packing,
     "op5_decontaminate": decontaminate,
     "op6_secret_scan": secret_scan,
     "op7_quality": quality,
+    "op8_vp_search": vp_search,
     "op9_line_dedup": line_dedup,
 }
 
