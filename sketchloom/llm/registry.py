@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sketchloom.llm import decontaminate, line_dedup, packing, quality, secret_scan, vp_search
+from sketchloom.llm import decontaminate, language_id, line_dedup, packing, quality, secret_scan, vp_search
 
 OPERATORS = {
+    "op1_language_id": language_id,
     "op3_packing": packing,
     "op5_decontaminate": decontaminate,
     "op6_secret_scan": secret_scan,
