@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sketchloom.llm import decontaminate, language_id, line_dedup, packing, quality, secret_scan, vp_search
+from sketchloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality, secret_scan, vp_search
 
 OPERATORS = {
     "op1_language_id": language_id,
+    "op2_near_dedup": near_dedup,
     "op3_packing": packing,
     "op5_decontaminate": decontaminate,
     "op6_secret_scan": secret_scan,
