@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sketchloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality, secret_scan, vp_search
+from sketchloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality, secret_scan, suffix_dedup, vp_search
 
 OPERATORS = {
     "op1_language_id": language_id,
     "op2_near_dedup": near_dedup,
     "op3_packing": packing,
+    "op4_suffix_dedup": suffix_dedup,
     "op5_decontaminate": decontaminate,
     "op6_secret_scan": secret_scan,
     "op7_quality": quality,
