@@ -15,6 +15,7 @@ match's start is the length of what `split` leaves before it plus the matches be
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,18 +45,27 @@ ALLOW = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once. Without it, each use inside a lambda would compute it anew."""
+    return F.transform(F.array(value), body)[0]
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<s,e,m>> of the leftmost non-overlapping matches: start, end (exclusive) and text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, F.size(acc["out"])))
-        end = start + F.length(m)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), m.alias("m")))).alias("out"))
+    def placed(found: Column, gaps: Column) -> Column:
+        def step(acc: Column, m: Column) -> Column:
+            start = acc["at"] + F.length(F.get(gaps, F.size(acc["out"])))
+            end = start + F.length(m)
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), m.alias("m")))).alias("out"))
 
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"]))
+        return F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    return let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda gaps: placed(found, gaps))),
+    )
 
 
 def _weight(count: Column) -> Column:
@@ -70,26 +80,30 @@ def window_span(run: Column, alphabet: str, least: float, window: int = WINDOW)
     """
     codes = F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.instr(F.lit(alphabet), F.substring(run, i, F.lit(1))))
     zero = F.array_repeat(F.lit(0), len(alphabet) + 1)
+    start = F.struct(zero.alias("n"), F.lit(0.0).alias("w"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
 
-    def step(acc: Column, i: Column) -> Column:
-        new, old = F.get(codes, i), F.coalesce(F.get(codes, i - window), F.lit(-1))
+    def step(acc: Column, i: Column, new: Column, old: Column) -> Column:
         counts = F.transform(acc["n"], lambda c, k: c + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
         into, out = F.get(acc["n"], new), F.get(acc["n"], old)
         moved = F.when(new == old, F.lit(0.0)).otherwise(
             _weight(into + 1) - _weight(into) + F.when(old >= 0, _weight(out - 1) - _weight(out)).otherwise(F.lit(0.0))
         )
-        total = acc["w"] + moved
-        hit = (i >= window - 1) & (F.get(counts, F.lit(0)) == 0) & (math.log2(window) - total / window >= least)
-        return F.struct(
-            counts.alias("n"),
-            total.alias("w"),
-            F.when(hit & (acc["s"] < 0), i - (window - 1)).otherwise(acc["s"]).alias("s"),
-            F.when(hit, i + 1).otherwise(acc["e"]).alias("e"),
-        )
 
-    start = F.struct(zero.alias("n"), F.lit(0.0).alias("w"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
-    end = F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), start, step)
-    return F.transform(F.array(end), lambda x: F.when(x["s"] >= 0, F.struct(x["s"].alias("s"), x["e"].alias("e"))))[0]
+        def state(n: Column, total: Column) -> Column:
+            hit = (i >= window - 1) & (F.get(n, F.lit(0)) == 0) & (math.log2(window) - total / window >= least)
+            first = F.when(hit & (acc["s"] < 0), i - (window - 1)).otherwise(acc["s"])
+            return F.struct(n.alias("n"), total.alias("w"), first.alias("s"), F.when(hit, i + 1).otherwise(acc["e"]).alias("e"))
+
+        return let(F.struct(counts.alias("n"), (acc["w"] + moved).alias("w")), lambda x: state(x["n"], x["w"]))
+
+    def slide(code: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(0), F.length(run) - 1), start,
+            lambda acc, i: let(F.struct(F.get(code, i).alias("new"), F.coalesce(F.get(code, i - window), F.lit(-1)).alias("old")), lambda x: step(acc, i, x["new"], x["old"])),
+            lambda acc: F.when(acc["s"] >= 0, F.struct(acc["s"].alias("s"), acc["e"].alias("e"))),
+        )
+
+    return let(codes, slide)
 
 
 def allowed(run: Column, allow: tuple[str, ...] = ALLOW) -> Column:
@@ -115,15 +129,28 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     def named(array: Column, kind: str) -> Column:
         return F.transform(array, lambda x: F.struct(x["s"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), F.lit(kind).alias("kind"), x["e"].alias("end")))
 
-    base = docs.withColumns({"__base": F.concat(*[named(a, k) for k, a in spans.items()]), "__runs": F.filter(match_spans(t, CANDIDATE), lambda x: ~allowed(x["m"], allow))})
-
     def of_run(run: Column) -> Column:
-        inside = F.filter(F.array(*[window_span(run["m"], chars, least) for chars, least in CLASSES.values()]), lambda x: x.isNotNull())
-        widest = F.struct(F.array_min(F.transform(inside, lambda x: x["s"])).alias("s"), F.array_max(F.transform(inside, lambda x: x["e"])).alias("e"))
-        return F.when(F.size(inside) > 0, F.struct((run["s"] + widest["s"]).alias("s"), (run["s"] + widest["e"]).alias("e")))
+        classes = F.array(*[window_span(run["m"], chars, least) for chars, least in CLASSES.values()])
+        return let(
+            F.filter(classes, lambda x: x.isNotNull()),
+            lambda inside: F.when(
+                F.size(inside) > 0,
+                F.struct(
+                    (run["s"] + F.array_min(F.transform(inside, lambda x: x["s"]))).alias("s"),
+                    (run["s"] + F.array_max(F.transform(inside, lambda x: x["e"]))).alias("e"),
+                ),
+            ),
+        )
+
+    def apart(x: Column, spans: Column) -> Column:
+        return ~F.exists(spans, lambda b: (b["start"] < x["e"]) & (x["s"] < b["end"]))
+
+    def of_text(base: Column) -> Column:
+        runs = F.filter(match_spans(t, CANDIDATE), lambda x: ~allowed(x["m"], allow))
+        found = F.filter(F.transform(runs, of_run), lambda x: x.isNotNull() & apart(x, base))
+        return F.array_sort(F.concat(base, named(found, "entropy")))
 
-    free = F.filter(F.transform("__runs", of_run), lambda x: x.isNotNull() & ~F.exists("__base", lambda b: (b["start"] < x["e"]) & (x["s"] < b["end"])))
-    return base.withColumn("secrets", F.array_sort(F.concat("__base", named(free, "entropy")))).drop("__base", "__runs")
+    return docs.withColumn("secrets", let(F.concat(*[named(a, k) for k, a in spans.items()]), of_text))
 
 
 def joined(spans: Column) -> Column:
