@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sketchloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality, secret_scan, suffix_dedup, vp_search
+from sketchloom.llm import decontaminate, katz, language_id, line_dedup, near_dedup, packing, quality, secret_scan, suffix_dedup, vp_search
 
 OPERATORS = {
     "op1_language_id": language_id,
@@ -14,6 +14,7 @@ OPERATORS = {
     "op7_quality": quality,
     "op8_vp_search": vp_search,
     "op9_line_dedup": line_dedup,
+    "op10_katz": katz,
 }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,3 +60,9 @@ LONG, STRING, DOUBLE, BOOL, BINARY, INT = T.LongType(), T.StringType(), T.Double
 
 def schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of stages whose results were stored and which nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
