@@ -1,11 +1,321 @@
-"""Registered queries of the sketch library and their SQL."""
+"""Registered queries of the sketch library and their SQL.
+
+Sequences are the bases in the texts of `documents`, each document an id, or each `source` a collection of
+many sequences. Doubles are rounded to 9 places on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sketchloom import oracle as O
+from sketchloom.functions import kmers as km
+from sketchloom.functions.register import murmur64
+from sketchloom.operators import hll, minhash, order, weighted
+from sketchloom.params import HllParams, MinHashParams, OrderParams, WeightedParams
+from sketchloom.plans import compare
+
+K = 21
+MH = MinHashParams(k=K, size=100)
+TEXT = MinHashParams(k=12, size=50, canonical=False)
+HL = HllParams(p=8)
+OM = OrderParams(k=K, l=2, m=8)
+WM = WeightedParams()
+
+_QUERIES: dict[str, tuple[Callable, str | None]] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = (f, sql)
+        return f
 
-def queries() -> dict:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+
+
+def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), km.acgt_only(F.col("text")).alias("seq"))
+
+
+def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.substring("source", 4, 20).cast("long").alias("id"), "lang", km.acgt_only(F.col("text")).alias("seq"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), km.acgt_only(F.col("text")).alias("seq"))
+
+
+def places(*columns: str) -> list:
+    return [F.round(c, 9).alias(c) for c in columns]
+
+
+# Sequences and k-mers
+
+
+@_query(f"with {O.SEQS} select id, seq, {O.rc('seq')} as rc from seqs")
+def revcomp(spark, sf):
+    return dna(spark, sf).select("id", "seq", km.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@_query("select doc_id as id, translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') as seq from documents")
+def upper_sequences(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("id"), km.upper(F.coalesce("text", F.lit(""))).alias("seq"))
+
+
+@_query(f"with {O.SEQS}, {O.kmers(K)} select id, pos::int as pos, kmer from kmers")
+def kmers(spark, sf):
+    return dna(spark, sf).select("id", F.posexplode(km.kmers(F.col("seq"), K)).alias("pos", "kmer")).withColumn("pos", F.col("pos") + 1)
+
+
+@_query(f"with {O.SEQS}, {O.kmers(K)}, {O.CANONICAL} select id, kmer, count(*)::bigint as n from canon group by id, kmer")
+def canonical_kmers(spark, sf):
+    each = dna(spark, sf).select("id", F.explode(km.kmers(F.col("seq"), K)).alias("kmer"))
+    return each.groupBy("id", km.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
+
+
+@_query(f"with {O.SEQS}, {O.kmers(K)}, {O.CANONICAL} select kmer, count(*)::bigint as n from canon group by kmer")
+def kmer_spectrum_exact(spark, sf):
+    each = dna(spark, sf).select(F.explode(km.kmers(F.col("seq"), K)).alias("kmer"))
+    return each.groupBy(km.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
+
+
+@_query(f"with {O.SEQS}, {O.kmers(K)} select id, pos::int as pos, (row_number() over (partition by id, kmer order by pos) - 1)::int as occurrence from kmers")
+def occurrence_number(spark, sf):
+    earlier = Window.partitionBy("id", "kmer").orderBy("pos")
+    return kmers(spark, sf).select("id", "pos", (F.row_number().over(earlier) - 1).alias("occurrence"))
+
+
+@_query(f"with {O.SEQS}, {O.kmers(K)}, {O.CANONICAL}, {O.murmur('canon', K)} select kmer, {O.SIGNED.format('h')} as hash from hashes")
+def murmur_kmers(spark, sf):
+    return kmer_spectrum_exact(spark, sf).select("kmer", murmur64("kmer").alias("hash"))
+
+
+@_query(f"with {O.SEQS} select id, length(seq)::bigint as total_length from seqs")
+def total_length(spark, sf):
+    return minhash.total_length(dna(spark, sf))
+
+
+# MinHash
+
+
+@_query(f"{O.sketches(O.SEQS, K, MH.size)} select id, {O.SIGNED.format('h')} as hash, multiplicity::bigint as multiplicity from sk")
+def minhash_sketch(spark, sf):
+    return minhash.sketch(dna(spark, sf), MH)
+
+
+@_query(f"{O.sketches(O.BY_SOURCE, K, MH.size, 2)} select id, {O.SIGNED.format('h')} as hash, multiplicity::bigint as multiplicity from sk")
+def minhash_min_copies(spark, sf):
+    return minhash.sketch(by_source(spark, sf), MinHashParams(k=K, size=MH.size, min_copies=2))
+
+
+@_query(f"{O.sketches(O.BY_SOURCE, K, MH.size)} select id, {O.SIGNED.format('h')} as hash, multiplicity::bigint as multiplicity from sk")
+def minhash_merge(spark, sf):
+    """The sketch of each source from those of its English and its other documents."""
+    every = by_source(spark, sf)
+    parts = [minhash.sketch(every.where(c), MH) for c in ("lang = 'en'", "lang is null or lang <> 'en'")]
+    return minhash.merge(*parts, MH)
+
+
+@_query(
+    f"{O.sketches(O.BY_SOURCE, K, MH.size)} select id, count(*)::bigint as sketch_size, sum(multiplicity)::bigint as multiplicity_sum, round(avg(multiplicity), 9) as mean_multiplicity, "
+    "round(18446744073709551616::double * count(*) / max(h)::double, 3) as cardinality from sk group by id"
+)
+def minhash_stats(spark, sf):
+    found = minhash.stats(minhash.sketch(by_source(spark, sf), MH))
+    return found.withColumns({"mean_multiplicity": F.round("mean_multiplicity", 9), "cardinality": F.round("cardinality", 3)})
+
+
+@_query(f"{O.sketches(O.SEQS, K, MH.size)} select a.id as i, b.id as j, count(*)::bigint as shared from sk a join sk b using (h) where a.id < b.id group by a.id, b.id")
+def minhash_candidate_pairs(spark, sf):
+    return compare.candidate_pairs(minhash_sketch(spark, sf))
+
+
+@_query(f"{O.measures(O.SEQS, K, MH.size)} select i, j, round(jaccard, 9) as jaccard from measured")
+def minhash_jaccard(spark, sf):
+    return compare.minhash_measures(minhash_sketch(spark, sf), MH).select("i", "j", *places("jaccard"))
+
+
+@_query(f"{O.measures(O.SEQS, K, MH.size)} select i, j, round(containment, 9) as containment from measured")
+def minhash_containment(spark, sf):
+    return compare.minhash_measures(minhash_sketch(spark, sf), MH).select("i", "j", *places("containment"))
+
+
+@_query(f"{O.measures(O.SEQS, K, MH.size)} select i, j, round(jaccard, 9) as jaccard, round(distance, 9) as distance from measured")
+def minhash_distance(spark, sf):
+    return compare.minhash_measures(minhash_sketch(spark, sf), MH).select("i", "j", *places("jaccard", "distance"))
+
+
+@_query(f"{O.measures(O.SEQS, K, MH.size)} select i, j, round(distance, 9) as distance from measured order by round(distance, 9), i, j limit 25")
+def closest_pair_topk(spark, sf):
+    return compare.closest(minhash_distance(spark, sf).select("i", "j", "distance"), 25)
+
+
+@_query(
+    f"with {O.SEQS}, {O.kmers(K)}, {O.CANONICAL}, sets as (select distinct id, kmer from canon), n as (select id, count(*) as n from sets group by id), "
+    "c as (select a.id as i, b.id as j, count(*) as shared from sets a join sets b using (kmer) where a.id < b.id group by a.id, b.id) "
+    "select i, j, round(shared / (a.n + b.n - shared), 9) as jaccard from c join n a on a.id = i join n b on b.id = j"
+)
+def exact_jaccard(spark, sf):
+    sets = canonical_kmers(spark, sf).select("id", F.col("kmer").alias("hash"))
+    sizes = sets.groupBy("id").agg(F.count("*").alias("n"))
+    pairs = compare.candidate_pairs(sets)
+    both = pairs.join(sizes.select(F.col("id").alias("i"), F.col("n").alias("ni")), "i").join(sizes.select(F.col("id").alias("j"), F.col("n").alias("nj")), "j")
+    return both.select("i", "j", F.round(F.col("shared") / (F.col("ni") + F.col("nj") - F.col("shared")), 9).alias("jaccard"))
+
+
+_ASCII = "with seqs as (select doc_id as id, upper(regexp_replace(coalesce(text, ''), '[^\\x01-\\x7F]', '', 'g')) as seq from documents)"
+
+
+@_query(
+    f"{_ASCII}, {O.kmers(TEXT.k)}, {O.murmur('kmers', TEXT.k)}, kh as (select id, h from kmers join hashes using (kmer)), "
+    f"sk as (select id, h, n as multiplicity from (select id, h, n, row_number() over (partition by id order by h) as r from (select id, h, count(*) as n from kh group by id, h)) where r <= {TEXT.size}) "
+    f"select id, {O.SIGNED.format('h')} as hash, multiplicity::bigint as multiplicity from sk"
+)
+def minhash_text(spark, sf):
+    """Sketches of ordinary strings: one strand, all ASCII characters."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ascii_only = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x01-\x7F]", "")
+    return minhash.sketch(docs.select(F.col("doc_id").alias("id"), ascii_only.alias("seq")), TEXT)
+
+
+# HyperLogLog
+
+
+@_query(f"{O.registers(O.SEQS, HL.k, HL.p)} select * from regs")
+def hll_registers(spark, sf):
+    return hll.registers(dna(spark, sf), HL)
+
+
+@_query(f"{O.registers(O.BY_SOURCE, HL.k, HL.p)} select * from regs")
+def hll_merge(spark, sf):
+    every = by_source(spark, sf)
+    return hll.merge(*[hll.registers(every.where(c), HL) for c in ("lang = 'en'", "lang is null or lang <> 'en'")])
+
+
+@_query(
+    f"{O.registers(O.BY_SOURCE, HL.k, HL.p)} select id, rank, count(*)::bigint as n from regs group by id, rank "
+    f"union all select id, 0, {1 << HL.p} - count(*) from regs group by id having count(*) < {1 << HL.p}"
+)
+def hll_histogram(spark, sf):
+    counts = hll.histogram(hll.registers(by_source(spark, sf), HL), HL.p)
+    return counts.select("id", F.posexplode("counts").alias("rank", "n")).where("n > 0")
+
+
+@_query(
+    f"{O.registers(O.BY_SOURCE, HL.k, HL.p)}, sums as (select id, sum(pow(2.0, -rank)) + ({1 << HL.p} - count(*)) as s, {1 << HL.p} - count(*) as zeros from regs group by id) "
+    f"select id, round({O.original(HL.p)}, 6) as estimate from sums"
+)
+def hll_original_estimate(spark, sf):
+    counts = hll.histogram(hll.registers(by_source(spark, sf), HL), HL.p)
+    return counts.select("id", F.round(hll.estimate(F.col("counts"), HL.p, "original"), 6).alias("estimate"))
+
+
+@_query()
+def hll_improved_estimate(spark, sf):
+    counts = hll.histogram(hll.registers(by_source(spark, sf), HL), HL.p)
+    return counts.select("id", hll.estimate(F.col("counts"), HL.p, "improved").alias("estimate"))
+
+
+@_query()
+def hll_mle_estimate(spark, sf):
+    counts = hll.histogram(hll.registers(by_source(spark, sf), HL), HL.p)
+    return counts.select("id", hll.estimate(F.col("counts"), HL.p).alias("estimate"))
+
+
+@_query(f"{O.registers(O.BY_SOURCE, HL.k, HL.p)}, {O.joint(HL.p)} select * from hist")
+def hll_joint_histogram(spark, sf):
+    regs = hll.registers(by_source(spark, sf), HL)
+    return hll.joint_histogram(regs, compare.all_pairs(regs.select("id")), HL.p)
+
+
+@_query()
+def hll_jaccard(spark, sf):
+    regs = hll.registers(by_source(spark, sf), HL)
+    return hll.jaccard(regs, compare.all_pairs(regs.select("id")), HL.p)
+
+
+@_query()
+def hll_union_jaccard(spark, sf):
+    regs = hll.registers(by_source(spark, sf), HL)
+    return hll.jaccard_by_union(regs, compare.all_pairs(regs.select("id")), HL.p)
+
+
+# Weighted MinHash
+
+
+@_query(O.minimizers(O.SEQS, WM.k, WM.window))
+def minimizers(spark, sf):
+    return weighted.minimizers(dna(spark, sf), WM).select("id", "minimizer")
+
+
+@_query()
+def wmh_spectrum(spark, sf):
+    return weighted.spectrum(weighted.minimizers(by_source(spark, sf), WM))
+
+
+@_query()
+def cms_estimate(spark, sf):
+    return weighted.estimates(wmh_spectrum(spark, sf))
+
+
+@_query()
+def wmh_sketch(spark, sf):
+    return weighted.sketch(cms_estimate(spark, sf), WM)
+
+
+@_query()
+def wmh_jaccard(spark, sf):
+    sketches = wmh_sketch(spark, sf)
+    return weighted.jaccard(sketches, compare.all_pairs(sketches.select("id")))
+
+
+# Order MinHash
+
+
+@_query(f"{O.order_blocks(K, OM.m, OM.seed)} select id, block::int as block, kmers from blocks")
+def omh_sketch(spark, sf):
+    return order.sketch(dna(spark, sf), OM).where("data is not null").select("id", F.posexplode("data").alias("block", "kmers"))
+
+
+@_query(
+    f"{O.order_blocks(K, OM.m, OM.seed)}, c as (select a.id as i, b.id as j, count(*) as same from blocks a join blocks b using (block, kmers) where a.id < b.id group by a.id, b.id) "
+    f"select i, j, round(same / {OM.m}, 9) as similarity from c"
+)
+def omh_similarity(spark, sf):
+    """Of pairs that share a block."""
+    sketches = order.sketch(dna(spark, sf), OM)
+    blocks = sketches.where("data is not null").select("id", F.posexplode("data").alias("block", "kmers"))
+    pairs = compare.candidate_pairs(blocks.select("id", F.struct("block", "kmers").alias("hash")))
+    return order.similarity(sketches, pairs).select("i", "j", *places("similarity"))
+
+
+# Comparisons
+
+
+@_query()
+def all_pairs_matrix(spark, sf):
+    """Four distances of all pairs of benchmark items."""
+    every = items(spark, sf)
+    small = WeightedParams(k=11, window=5, size=20)
+    return compare.matrix(every, compare.all_pairs(every), MinHashParams(k=11, size=200), small, OrderParams(k=5, l=2, m=50), HllParams(p=8, k=11))
+
+
+@_query()
+def phylip(spark, sf):
+    """A lower-triangular matrix of the mutation distances of the sources."""
+    every = by_source(spark, sf)
+    found = minhash.sketch(every, MH)
+    return compare.phylip(every, compare.minhash_measures(found, MH))
