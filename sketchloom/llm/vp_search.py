@@ -25,7 +25,7 @@ from sketchloom.llm.shared import BINARY, DOUBLE, INT, LONG, schema, stored
 
 SHARD_VECTORS = 20_000
 QUERY_BLOCK = 20_000
-LEAF = 128
+LEAF = 512
 
 
 def distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -122,18 +122,38 @@ class Tree:
         return best, found
 
     def _offer(self, active: np.ndarray, queries: np.ndarray, own: np.ndarray, lo: int, hi: int, best: np.ndarray, found: np.ndarray) -> None:
-        k = best.shape[1]
-        ids = self.ids[self.id_at[lo] : self.id_at[hi]]
-        point = np.repeat(np.arange(hi - lo), np.diff(self.id_at[lo : hi + 1]))
+        """Compare a leaf. A matrix product gives distances up to a known error; only pairs that may be among the k best are summed exactly."""
+        k, points = best.shape[1], self.points[lo:hi]
+        length = (points * points).sum(1)
         for part in np.array_split(active, max(1, len(active) * (hi - lo) // 2_000_000)):
-            d = distances(queries[part], self.points[lo:hi])[:, point]
-            d[own[part][:, None] == ids[None]] = np.inf
-            d = np.concatenate((best[part], d), 1)
-            i = np.concatenate((found[part], np.broadcast_to(ids, (len(part), len(ids)))), 1)
-            by = np.lexsort((i, d), axis=-1)[:, :k]
-            best[part] = np.take_along_axis(d, by, 1)
-            kept = np.take_along_axis(i, by, 1)
-            found[part] = np.where(np.isinf(best[part]), -1, kept)
+            q = queries[part]
+            size = (q * q).sum(1)
+            near = size[:, None] + length[None] - 2 * (q @ points.T)
+            error = 1e-11 * (size + length.max())
+            limit = best[part, -1] ** 2 * (1 + 1e-12) + error
+            if hi - lo > k + 1:  # one may be the query itself
+                limit = np.minimum(limit, np.partition(near, k, axis=1)[:, k] + 2 * error)
+            row, column = np.nonzero(near <= limit[:, None])
+            if not len(row):
+                continue
+            total = np.zeros(len(row))
+            for d in range(points.shape[1]):
+                gap = q[row, d] - points[column, d]
+                total += gap * gap
+            n = np.diff(self.id_at[lo : hi + 1])[column]
+            ids = self.ids[np.repeat(self.id_at[lo:hi][column] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            row, score = np.repeat(row, n), np.repeat(np.sqrt(total), n)
+            other = ids != own[part][row]
+            touched, row = np.unique(row[other], return_inverse=True)
+            some = part[touched]
+            row = np.concatenate((np.repeat(np.arange(len(some)), k), row))
+            score = np.concatenate((best[some].reshape(-1), score[other]))
+            ids = np.concatenate((found[some].reshape(-1), ids[other]))
+            by = np.lexsort((ids, score, row))
+            first = np.searchsorted(row[by], np.arange(len(some)))
+            take = by[first[:, None] + np.arange(k)]
+            best[some] = score[take]
+            found[some] = np.where(np.isinf(score[take]), -1, ids[take])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
