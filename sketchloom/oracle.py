@@ -144,7 +144,7 @@ def original(p: int) -> str:
 def minimizers(seqs: str, k: int, w: int) -> str:
     """Distinct (id, minimizer) of pure ACGT sequences."""
     mask = f"{1 << (2 * k)}::uhugeint"
-    code = lambda i: f"(position(substr(kmer, {i}, 1) in 'ACGT') - 1)::uhugeint"
+    code = lambda i: f"(instr('ACGT', substr(kmer, {i}, 1)) - 1)::uhugeint"
     forward = " + ".join(f"{code(i)} * {4 ** (k - i)}::uhugeint" for i in range(1, k + 1))
     backward = " + ".join(f"(3::uhugeint - {code(i)}) * {4 ** (i - 1)}::uhugeint" for i in range(1, k + 1))
     sx = lambda by: f"xor(x::ubigint, (x // {1 << by}::uhugeint)::ubigint)::uhugeint"
@@ -154,15 +154,15 @@ h0 as (select kmer, f, b, (least(f, b) * {(1 << 21) - 1}::uhugeint + {mask} - 1)
 h1 as (select kmer, f, b, {sx(24)} * 265 % {mask} as x from h0),
 h2 as (select kmer, f, b, {sx(14)} * 21 % {mask} as x from h1),
 h3 as (select kmer, f, b, {sx(28)} * {(1 << 31) + 1}::uhugeint % {mask} as x from h2),
-placed as (select id, pos + {k - 2} as at, case when f <> b then x * 256 + least(pos + {k - 2} - {w} + 2, {k})::uhugeint end as v, f <> b as valid from kmers join h3 using (kmer) join seqs using (id) where length(seq) >= {w + k - 1}),
-mins as (select id, at, valid, min(v) over (partition by id order by at range between {w - 1} preceding and current row) as v from placed)
-select distinct id, {SIGNED.format('v')} as minimizer from mins where valid and at >= {w - 1}"""
+placed as (select id, pos + {k - 2} as spot, case when f <> b then x * 256 + least(pos + {k - 2} - {w} + 2, {k})::uhugeint end as v, f <> b as valid from kmers join h3 using (kmer) join seqs using (id) where length(seq) >= {w + k - 1}),
+mins as (select id, spot, valid, min(v) over (partition by id order by spot range between {w - 1} preceding and current row) as v from placed)
+select distinct id, {SIGNED.format('v')} as minimizer from mins where valid and spot >= {w - 1}"""
 
 
 def order_blocks(k: int, m: int, seed: int) -> str:
     """CTEs that end in blocks(id, block, kmers) for l = 2."""
     seeds = ", ".join(f"({i}, {int(s)}::uhugeint)" for i, s in enumerate(hashing.mersenne64(seed, m)))
-    code = lambda i: f"(position(substr(kmer, {i}, 1) in 'ACTG') - 1)::uhugeint"
+    code = lambda i: f"(instr('ACTG', substr(kmer, {i}, 1)) - 1)::uhugeint"
     packed = " + ".join(f"{code(i)} * {4 ** (k - i + 1)}::uhugeint" for i in range(1, k + 1))
     steps = fmix_steps("of", "mixed", "x", "id, pos, kmer, block")
     return f"""with {SEQS}, {kmers(k)},

@@ -55,6 +55,6 @@ def phylip(ids: DataFrame, measured: DataFrame, value: str = "distance", missing
     cells = known.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("column", "d"))).alias("cells"))
     order = ids.agg(F.array_sort(F.collect_list("id")).alias("all"))
     body = ids.join(cells, ids["id"] == cells["row"], "left").crossJoin(F.broadcast(order))
-    value_at = lambda c: F.format_number(F.coalesce(F.try_element_at(F.col("cells"), c), F.lit(missing)), "0.000000")
+    value_at = lambda c: F.format_string("%.6f", F.coalesce(F.try_element_at(F.col("cells"), c), F.lit(missing)))
     lines = body.select("id", F.concat_ws(" ", F.col("id").cast("string"), F.transform(F.filter("all", lambda x: x < F.col("id")), value_at)).alias("line"))
     return order.select(F.lit(None).cast("long").alias("id"), F.size("all").cast("string").alias("line")).unionByName(lines)
