@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from math import exp, lgamma, log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,8 +106,6 @@ def distance(j: Column, k: int) -> Column:
 
 def p_value(shared: Column, size: Column, length_a: Column, length_b: Column, k: int, alphabet: int = 4) -> Column:
     """Probability of at least `shared` common hashes for random sequences of these lengths (binomial tail)."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def tail(x: pd.Series, s: pd.Series, r: pd.Series) -> pd.Series:
 

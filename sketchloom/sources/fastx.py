@@ -26,7 +26,7 @@ class MalformedRecord(ValueError):
 
 def parse(lines: Iterable[str], strict: bool = True) -> Iterator[tuple[str, str | None, str, str | None]]:
     """(name, comment, seq, qual) of each record. strict: raise on a malformed one, else stop there."""
-    source = (line.rstrip("\n").removesuffix("\r") if len(line.rstrip("\n")) > 1 else line.rstrip("\n") for line in lines)
+    source = (line.removesuffix("\n").removesuffix("\r") for line in lines)
     header = next((x for x in source if x[:1] in (">", "@")), None)
     while header is not None:
         words = header[1:].split(None, 1) if header[1:2].strip() else ["", *header[1:].split(None, 1)][:2]
