@@ -31,6 +31,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         drop_path(current.sparkSession, current.inputFiles()[0].rsplit("/", 1)[0]) if current.inputFiles() else None
         current = following
         if after == before:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            found = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
         before = after
     raise RuntimeError("components did not settle")
