@@ -110,10 +110,14 @@ def fit(feature: np.ndarray, at: np.ndarray, grade: np.ndarray, steps: int = 250
     """
     if not len(grade):
         return Model(feature[:0], np.zeros(0), np.array([-5.0, -3.35]))
-    active, column, seen = np.unique(feature, return_inverse=True, return_counts=True)
-    use = (seen >= LEAST_DOCS)[column]
-    doc = np.repeat(np.arange(len(grade)), np.diff(at))[use]
-    active, column = active[seen >= LEAST_DOCS], (np.cumsum(seen >= LEAST_DOCS) - 1)[column[use]]
+    ordered = np.sort(feature)
+    first = K.grouped_starts(ordered)
+    active = ordered[first[np.diff(np.append(first, len(ordered))) >= LEAST_DOCS]]
+    del ordered, first
+    use = _within(active, feature)
+    doc = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(at))[use]
+    column = np.searchsorted(active, feature[use]).astype(np.int32)
+    del use
     counts = np.bincount(grade, minlength=GRADES)
     each = (len(grade) / (np.count_nonzero(counts) * np.maximum(counts, 1)))[grade] / len(grade)
     x = np.zeros(len(active) + 2)
