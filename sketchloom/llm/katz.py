@@ -21,6 +21,7 @@ Chunks travel as compressed arrays, so rows are few. The model grows with the co
 
 from __future__ import annotations
 
+import ctypes
 import math
 import pickle
 from collections.abc import Iterator
@@ -40,10 +41,10 @@ from sketchloom.llm.shared import BINARY, BOOL, DOUBLE, INT, LONG, documents, re
 #: Good-Turing applies to counts up to this.
 CUTOFF = 5
 LARGE = 0.999
-CHUNK_BYTES = 16 << 20
-#: Bytes of text for each partition, and slices of a partition.
-PARTITION_BYTES = 36_000_000
-SLICES = 2
+CHUNK_BYTES = 8 << 20
+#: Bytes of text for each partition, and slices of a partition: a slice is what a worker holds as arrays.
+PARTITION_BYTES = 24_000_000
+SLICES = 4
 #: Words of this share of the tokens are dealt by context as well. It bounds their number.
 HOT_SHARE = 0.004
 #: A sample for planning only: which words are hot decides where they are counted, not what is counted.
@@ -73,6 +74,26 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=_ROW.names)
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, as a worker process lives on with what its largest slice took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of the rows of one kind and slot. A partition's rows are compressed and few, so they are put in order here, not in a sort of Spark's."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        table = pa.Table.from_batches(held)
+        kind, slot = table["kind"].to_numpy(), table["slot"].to_numpy()
+        order = np.lexsort((kind, slot))
+        first = np.append(np.flatnonzero(np.concatenate(([True], (np.diff(slot[order]) != 0) | (np.diff(kind[order]) != 0)))), len(order))
+        for lo, hi in zip(first[:-1], first[1:]):
+            yield table.take(pa.array(order[lo:hi]))
+
+
 def _edges(n: int) -> np.ndarray:
     """Where the n slices of the hash range end, without the last."""
     return np.array([(k << 64) // n for k in range(1, n)], np.uint64)
@@ -244,9 +265,12 @@ def score(docs: DataFrame, held: str, partition_bytes: int = PARTITION_BYTES, ch
                     for row in chunk_rows(held_, task << 24 | done):
                         yield _rows([row])
                     done, held_, size = done + 1, [], 0
+                    _trim()
         if held_:
             for row in chunk_rows(held_, task << 24 | done):
                 yield _rows([row])
+        held_ = []
+        _trim()
 
     def read_pairs(a: dict) -> tuple[np.ndarray, np.ndarray]:
         main = np.cumsum(a["main"])
@@ -262,22 +286,26 @@ def score(docs: DataFrame, held: str, partition_bytes: int = PARTITION_BYTES, ch
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys, hot_counts = parameters.value
-        sums: dict[int, np.ndarray] = {}
-        lines: dict[int, np.ndarray] = {}
-        bases: dict[int, np.ndarray] = {}
-        for group in groups(batches, ["slot", "kind"]):
-            rows = group.to_pylist()
-            if rows[0]["kind"] == META:
-                yield _rows([(META, r["slot"], r["uid"], r["data"]) for r in rows])
+        numbers: dict[int, int] = {}
+        sum_parts: list[tuple[np.ndarray, ...]] = []
+        seen_parts: list[tuple[np.ndarray, ...]] = []
+        for group in _by_slot(batches):
+            kind, slot = group["kind"][0].as_py(), group["slot"][0].as_py()
+            uids = group["uid"].to_numpy()
+            if kind == META:
+                yield _rows([(META, slot, int(u), d.as_py()) for u, d in zip(uids, group["data"])])
                 continue
-            read = [(r["uid"], _unpack(r["data"])) for r in rows]
-            pairs = [read_pairs(a) for _, a in read]
-            token, context = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-            n = np.concatenate([a["n"].astype(np.int64) for _, a in read])
-            docs_of = [int(a["docs"][0]) for _, a in read]
-            offset = np.concatenate(([0], np.cumsum(docs_of)))
-            doc = np.concatenate([a["doc"].astype(np.int64) + offset[k] for k, (_, a) in enumerate(read)])
-            train = np.concatenate([1 - np.unpackbits(a["held"], count=docs_of[k]).astype(np.int64) for k, (_, a) in enumerate(read)])
+            parts_: list[tuple[np.ndarray, ...]] = []
+            docs_of, train = [], []
+            for d in group["data"]:
+                a = _unpack(d.as_buffer())
+                docs_of.append(int(a["docs"][0]))
+                train.append(1 - np.unpackbits(a["held"], count=docs_of[-1]).astype(np.int32))
+                parts_.append((*read_pairs(a), a["n"].astype(np.int32), a["doc"].astype(np.int32) + np.int32(sum(docs_of[:-1]))))
+            del group
+            offset, train = np.concatenate(([0], np.cumsum(docs_of))), np.concatenate(train)
+            token, context, n, doc = (np.concatenate([p[k] for p in parts_]) for k in range(4))
+            del parts_
             per_entry = np.add.reduceat(train[doc], np.cumsum(n) - n)
             order = np.lexsort((context, token))
             t, c = token[order], context[order]
@@ -285,10 +313,11 @@ def score(docs: DataFrame, held: str, partition_bytes: int = PARTITION_BYTES, ch
             new_word[1:] = t[1:] != t[:-1]
             new_pair = new_word.copy()
             new_pair[1:] |= c[1:] != c[:-1]
-            pair_of = np.empty(len(t), np.int64)
-            pair_of[order] = np.cumsum(new_pair) - 1
+            pair_of = np.empty(len(t), np.int32)
+            pair_of[order] = np.cumsum(new_pair, dtype=np.int32) - 1
             pair_count = np.bincount(pair_of, weights=per_entry).astype(np.int64)
             pair_token, pair_context = t[new_pair], c[new_pair]
+            del order, t, c, per_entry
             first_of_word = np.flatnonzero(new_word[new_pair])
             word_count = np.add.reduceat(pair_count, first_of_word)
             often, at = is_hot(pair_token[first_of_word])
@@ -303,17 +332,12 @@ def score(docs: DataFrame, held: str, partition_bytes: int = PARTITION_BYTES, ch
             line = np.where(pc > 0, np.log10(np.maximum(pc, 1)), np.where(wc > CUTOFF, np.log10(np.maximum(wc, 1)), 0.0))
             line -= np.where((token != END) & (wc > 0), np.log10(np.maximum(wc, 1)), 0.0)
             base = np.log10(wc + 0.1)
-            classes = np.bincount(doc * CLASSES + np.repeat(kind, n), minlength=offset[-1] * CLASSES).reshape(-1, CLASSES)
-            line = np.bincount(doc, weights=np.repeat(line, n), minlength=offset[-1])
-            base = np.bincount(doc, weights=np.repeat(base, n), minlength=offset[-1])
-            for k, (uid, _) in enumerate(read):
-                part = slice(offset[k], offset[k + 1])
-                if uid in sums:
-                    sums[uid] += classes[part].astype(np.int32)
-                    lines[uid] += line[part]
-                    bases[uid] += base[part]
-                else:
-                    sums[uid], lines[uid], bases[uid] = classes[part].astype(np.int32), line[part].copy(), base[part].copy()
+            there, at = np.unique(doc, return_inverse=True)
+            size = len(there)
+            classes = np.bincount(at * CLASSES + np.repeat(kind, n), minlength=size * CLASSES).reshape(-1, CLASSES)
+            which = np.searchsorted(offset, there, "right") - 1
+            number = np.array([numbers.setdefault(u, len(numbers)) for u in uids.tolist()], np.int64)
+            sum_parts.append((number[which] << 32 | (there - offset[which]), _narrow(classes), np.bincount(at, weights=np.repeat(line, n), minlength=size), np.bincount(at, weights=np.repeat(base, n), minlength=size)))
             # Unseen tokens, and statistics of contexts, by slice of the context.
             unseen = np.flatnonzero(pc == 0)
             unseen = unseen[np.argsort(context[unseen], kind="stable")]
@@ -324,15 +348,29 @@ def score(docs: DataFrame, held: str, partition_bytes: int = PARTITION_BYTES, ch
                 at = np.repeat(ends[some] - m - (np.cumsum(m) - m), m) + np.arange(m.sum())
                 g = doc[at]
                 which = np.searchsorted(offset, g, "right") - 1
-                uids = np.array([u for u, _ in read], np.int64)
                 yield _rows([(UNSEEN, k, 0, _pack(context=np.diff(context[some], prepend=np.uint64(0)), n=_narrow(m), uid=uids, which=_narrow(which), doc=_narrow(g - offset[which])))])
-            seen = np.flatnonzero(pair_count > 0)
-            seen = seen[np.argsort(pair_context[seen], kind="stable")]
-            for k, lo, hi in _cuts(pair_context[seen], edges):
-                some = seen[lo:hi]
-                yield _rows([(CONTEXTS, k, 0, _pack(**_statistics(pair_context[some], pair_count[some], word_of_pair[some])))])
-        for uid in sums:
-            yield _rows([(SUMS, uid, uid, _pack(line=lines[uid], base=bases[uid], **{f"k{j}": _narrow(sums[uid][:, j]) for j in range(CLASSES)}))])
+            seen = pair_count > 0
+            seen_parts.append((pair_context[seen], _narrow(pair_count[seen]), _narrow(word_of_pair[seen])))
+            del token, context, n, doc, train, pair_of, pair_count, pair_token, pair_context, word_of_pair, pc, wc, kind, line, base, at, there, classes, seen, unseen
+            _trim()
+        if seen_parts:
+            context, pair, word = (np.concatenate([p[k] for p in seen_parts]) for k in range(3))
+            del seen_parts
+            order = np.argsort(context)
+            context = context[order]
+            for k, lo, hi in _cuts(context, edges):
+                some = order[lo:hi]
+                yield _rows([(CONTEXTS, k, 0, _pack(**_statistics(context[lo:hi], pair[some].astype(np.int64), word[some].astype(np.int64))))])
+        if sum_parts:
+            of = {number: uid for uid, number in numbers.items()}
+            key, at = np.unique(np.concatenate([p[0] for p in sum_parts]), return_inverse=True)
+            line, base = (np.bincount(at, weights=np.concatenate([p[k] for p in sum_parts])) for k in (2, 3))
+            columns = [_narrow(np.bincount(at, weights=np.concatenate([p[1][:, j] for p in sum_parts])).astype(np.int64)) for j in range(CLASSES)]
+            first = np.append(K.grouped_starts(key >> 32), len(key))
+            for lo, hi in zip(first[:-1], first[1:]):
+                uid = of[int(key[lo] >> 32)]
+                yield _rows([(SUMS, uid, uid, _pack(doc=_narrow(key[lo:hi] & 0xFFFFFFFF), line=line[lo:hi], base=base[lo:hi], **{f"k{j}": columns[j][lo:hi] for j in range(CLASSES)}))])
+        _trim()
 
     def back_off(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
@@ -359,6 +397,7 @@ def score(docs: DataFrame, held: str, partition_bytes: int = PARTITION_BYTES, ch
             doc, value = (np.concatenate([p[k] for p in parts_]) for k in (0, 1))
             docs_, at = np.unique(doc, return_inverse=True)
             yield _rows([(UNSEEN, uid, uid, _pack(doc=docs_, value=np.bincount(at, weights=value)))])
+        _trim()
 
     result = schema(doc_id=LONG, held_out=BOOL, n_tokens=LONG, n_known=LONG, train_tokens=LONG, base_score=DOUBLE, score=DOUBLE)
 
@@ -376,9 +415,9 @@ def score(docs: DataFrame, held: str, partition_bytes: int = PARTITION_BYTES, ch
             for x in rows:
                 if x["kind"] == SUMS:
                     a = _unpack(x["data"])
-                    line += a["line"]
-                    base += a["base"]
-                    kinds += np.stack([a[f"k{j}"] for j in range(CLASSES)], 1)
+                    line[a["doc"]] += a["line"]
+                    base[a["doc"]] += a["base"]
+                    kinds[a["doc"]] += np.stack([a[f"k{j}"] for j in range(CLASSES)], 1).astype(np.int64)
                 elif x["kind"] == UNSEEN:
                     a = _unpack(x["data"])
                     extra[a["doc"]] += a["value"]
@@ -389,7 +428,7 @@ def score(docs: DataFrame, held: str, partition_bytes: int = PARTITION_BYTES, ch
             columns = [ids, pa.array(meta["held"] > 0), pa.array(count_), pa.array(known), pa.array(np.full(n, m.tokens)), pa.array(base - count_ * norm), pa.array(total)]
             yield pa.RecordBatch.from_arrays(columns, names=result.names)
 
-    dealt = sized.mapInArrow(prepare, _ROW).repartition(parts, F.col("slot") % parts).sortWithinPartitions("slot", "kind")
+    dealt = sized.mapInArrow(prepare, _ROW).repartition(parts, F.col("slot") % parts)
     counted = stored(dealt.mapInArrow(count, _ROW), "katz")
     del dealt
     release(spark)
