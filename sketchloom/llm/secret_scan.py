@@ -2,8 +2,8 @@
 
 A candidate is a run of at least `WINDOW` characters of base64 or URL-safe alphabets. For each of
 the character classes (hexadecimal digits; the whole alphabet) a window slides over the run.
-The state is one count per character of the class and the sum S of c*log2(c) over the
-counts; entering and leaving characters change two counts and four terms, and the entropy of a
+The state is one count per character of the class, packed into longs, and the sum S of c*log2(c) over
+the counts; entering and leaving characters change two counts and four terms, and the entropy of a
 window of w characters is log2(w) - S/w. Windows at or over the class's threshold become a span.
 Spans that meet a pattern's span, or whose text an allow-list pattern matches, are left out.
 
@@ -29,7 +29,12 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
+#: Characters of a window; at most 31, as a count has five bits.
 WINDOW = 24
+#: Counts in a long.
+PACKED = 12
+#: Sizes that are summed into one growing array.
+SUM_BLOCK = 256
 CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
 #: Class: its characters and the least entropy of a window, in bits.
 CLASSES = {
@@ -50,17 +55,47 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, zero: int, merge: Callable[[Column, Column], Column], block: int = SUM_BLOCK) -> Column:
+    """What merge makes of zero and the ints before each: within blocks, then over blocks, as a growing array is copied at each step."""
+
+    def within(part: Column, base: Column) -> Column:
+        none = F.array().cast("array<int>")
+        step = lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(part, F.struct(base.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def of_blocks(parts: Column) -> Column:
+        folded = F.transform(parts, lambda part: F.aggregate(part, F.lit(zero), merge))
+        return let(within(folded, F.lit(zero)), lambda bases: F.flatten(F.zip_with(parts, bases, within)))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int"))
+    return F.when(F.size(values) > 0, let(F.transform(numbers, lambda k: F.slice(values, k * block + 1, block)), of_blocks)).otherwise(F.array().cast("array<int>"))
+
+
+def without_overlap(found: Column, base: Column) -> Column:
+    """The spans (s, e) of found that meet no span (start, end) of base."""
+    far = (1 << 31) - 1
+    both = F.array_sort(F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("s"), F.lit(0).alias("own"), b["end"].alias("e"))), F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(1).alias("own"), x["e"].alias("e"))),
+    ))
+
+    def apart(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda x: F.when(x["own"] == 0, x["e"]).otherwise(-1)), -1, lambda a, b: F.greatest(a, b))
+        begins = F.reverse(running(F.reverse(F.transform(spans, lambda x: F.when(x["own"] == 0, x["s"]).otherwise(far))), far, lambda a, b: F.least(a, b)))
+        free = lambda bounds: F.filter(spans, lambda x, i: (x["own"] == 1) & (F.get(bounds["ends"], i) <= x["s"]) & (F.get(bounds["begins"], i) >= x["e"]))
+        return F.transform(let(F.struct(ends.alias("ends"), begins.alias("begins")), free), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+
+    return F.when((F.size(found) == 0) | (F.size(base) == 0), found).otherwise(let(both, apart))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<s,e,m>> of the leftmost non-overlapping matches: start, end (exclusive) and text."""
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
 
     def placed(found: Column, gaps: Column) -> Column:
-        def step(acc: Column, m: Column) -> Column:
-            start = acc["at"] + F.length(F.get(gaps, F.size(acc["out"])))
-            end = start + F.length(m)
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), m.alias("m")))).alias("out"))
-
-        return F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        # What stands before the end of match i are the gaps up to its own and the matches before it.
+        sizes = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
+        span = lambda m, at: F.struct((at - F.length(m)).alias("s"), at.alias("e"), m.alias("m"))
+        return let(sizes, lambda each: F.zip_with(found, F.zip_with(running(each, 0, lambda a, b: a + b), each, lambda a, b: a + b), span))
 
     return let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
@@ -69,39 +104,50 @@ def match_spans(text: Column, pattern: str) -> Column:
 
 
 def _weight(count: Column) -> Column:
-    """c*log2(c), 0 for no or one character."""
-    return F.when(count > 1, count * F.log2(count)).otherwise(F.lit(0.0))
+    """c*log2(c), 0 for no or one character; from a table, as there are few counts."""
+    return F.get(F.lit([0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]), count.cast("int"))
 
 
-def window_span(run: Column, alphabet: str, least: float, window: int = WINDOW) -> Column:
-    """struct<s,e>: from the first to behind the last window whose entropy reaches `least`; null if none does.
+def window_span(chars: Column, alphabet: str, least: float, window: int = WINDOW) -> Column:
+    """struct<s,e>: from the first to behind the last window whose entropy reaches `least`; null if none does. chars: a run, split into characters.
 
-    Characters outside the class end a window: a window counts only if all its characters are of the class.
+    Characters outside the class end a window: a window counts only if all its characters are of the class. Counts
+    have five bits each, `PACKED` of them in a long, so a step changes a handful of numbers whatever the alphabet.
     """
-    codes = F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: F.instr(F.lit(alphabet), F.substring(run, i, F.lit(1))))
-    zero = F.array_repeat(F.lit(0), len(alphabet) + 1)
-    start = F.struct(zero.alias("n"), F.lit(0.0).alias("w"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
-
-    def step(acc: Column, i: Column, new: Column, old: Column) -> Column:
-        counts = F.transform(acc["n"], lambda c, k: c + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
-        into, out = F.get(acc["n"], new), F.get(acc["n"], old)
-        moved = F.when(new == old, F.lit(0.0)).otherwise(
-            _weight(into + 1) - _weight(into) + F.when(old >= 0, _weight(out - 1) - _weight(out)).otherwise(F.lit(0.0))
-        )
-
-        def state(n: Column, total: Column) -> Column:
-            hit = (i >= window - 1) & (F.get(n, F.lit(0)) == 0) & (math.log2(window) - total / window >= least)
-            first = F.when(hit & (acc["s"] < 0), i - (window - 1)).otherwise(acc["s"])
-            return F.struct(n.alias("n"), total.alias("w"), first.alias("s"), F.when(hit, i + 1).otherwise(acc["e"]).alias("e"))
-
-        return let(F.struct(counts.alias("n"), (acc["w"] + moved).alias("w")), lambda x: state(x["n"], x["w"]))
+    if not 0 < window <= WINDOW:
+        raise ValueError(f"window must lie in 1..{WINDOW}")
+    codes = F.transform(chars, lambda c: F.instr(F.lit(alphabet), c))
+    words = len(alphabet) // PACKED + 1
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("n"), F.lit(0.0).alias("w"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
+    units = F.lit([1 << (5 * k) for k in range(PACKED)]).cast("array<long>")
+    word = lambda code: F.floor(code / PACKED).cast("int")
+    unit = lambda code: F.get(units, F.pmod(code, F.lit(PACKED)))
+    count = lambda n, code: F.call_function("shiftright", F.get(n, word(code)), 5 * F.pmod(code, F.lit(PACKED))).bitwiseAND(F.lit(31))
+
+    def moved(n: Column, code: Column, by: int) -> Column:
+        return let(F.struct(word(code).alias("k"), (unit(code) * by).alias("u")), lambda x: F.transform(n, lambda c, k: F.when(k == x["k"], c + x["u"]).otherwise(c)))
+
+    def enter(acc: Column, new: Column) -> Column:
+        there = count(acc["n"], new)
+        return F.struct(moved(acc["n"], new, 1).alias("n"), (acc["w"] + _weight(there + 1) - _weight(there)).alias("w"))
+
+    def leave(acc: Column, old: Column) -> Column:
+        there = count(acc["n"], old)
+        return F.when(old >= 0, F.struct(moved(acc["n"], old, -1).alias("n"), (acc["w"] + _weight(there - 1) - _weight(there)).alias("w"))).otherwise(acc)
+
+    def step(acc: Column, x: Column) -> Column:
+        def state(now: Column) -> Column:
+            hit = (x["i"] >= window - 1) & (count(now["n"], F.lit(0)) == 0) & (math.log2(window) - now["w"] / window >= least)
+            first = F.when(hit & (acc["s"] < 0), x["i"] - (window - 1)).otherwise(acc["s"])
+            return F.struct(now["n"].alias("n"), now["w"].alias("w"), first.alias("s"), F.when(hit, x["i"] + 1).otherwise(acc["e"]).alias("e"))
+
+        # What leaves goes first, so no count exceeds the window.
+        left = leave(F.struct(acc["n"].alias("n"), acc["w"].alias("w")), x["old"])
+        return let(left, lambda out: let(enter(out, x["new"]), state))
 
     def slide(code: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(0), F.length(run) - 1), start,
-            lambda acc, i: let(F.struct(F.get(code, i).alias("new"), F.coalesce(F.get(code, i - window), F.lit(-1)).alias("old")), lambda x: step(acc, i, x["new"], x["old"])),
-            lambda acc: F.when(acc["s"] >= 0, F.struct(acc["s"].alias("s"), acc["e"].alias("e"))),
-        )
+        moves = F.transform(code, lambda new, i: F.struct(i.alias("i"), new.alias("new"), F.coalesce(F.get(code, i - window), F.lit(-1)).alias("old")))
+        return F.aggregate(moves, start, step, lambda acc: F.when(acc["s"] >= 0, F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))
 
     return let(codes, slide)
 
@@ -116,8 +162,9 @@ def allowed(run: Column, allow: tuple[str, ...] = ALLOW) -> Column:
 def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """Adds `secrets`: array<struct<start,kind_no,kind,end>> in order of start, then of KINDS.
 
-    Uses the column text only; null is an empty text and has no spans. Rows are taken one by one,
-    so repeated rows and ties need no rule; extra columns pass through.
+    Uses the column text only; null is an empty text and has no spans. Rows are taken one by one, so repeated rows
+    need no rule; extra columns pass through, but for one named `secrets` in any case, which is replaced. Time and
+    memory are linear in the text, in the number of matches and in the length of a run.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     spans = {
@@ -130,7 +177,7 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
         return F.transform(array, lambda x: F.struct(x["s"].alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), F.lit(kind).alias("kind"), x["e"].alias("end")))
 
     def of_run(run: Column) -> Column:
-        classes = F.array(*[window_span(run["m"], chars, least) for chars, least in CLASSES.values()])
+        classes = let(F.split(run["m"], ""), lambda chars: F.array(*[window_span(chars, alphabet, least) for alphabet, least in CLASSES.values()]))
         return let(
             F.filter(classes, lambda x: x.isNotNull()),
             lambda inside: F.when(
@@ -142,13 +189,10 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
             ),
         )
 
-    def apart(x: Column, spans: Column) -> Column:
-        return ~F.exists(spans, lambda b: (b["start"] < x["e"]) & (x["s"] < b["end"]))
-
     def of_text(base: Column) -> Column:
         runs = F.filter(match_spans(t, CANDIDATE), lambda x: ~allowed(x["m"], allow))
-        found = F.filter(F.transform(runs, of_run), lambda x: x.isNotNull() & apart(x, base))
-        return F.array_sort(F.concat(base, named(found, "entropy")))
+        found = F.filter(F.transform(runs, of_run), lambda x: x.isNotNull())
+        return let(found, lambda x: F.array_sort(F.concat(base, named(without_overlap(x, base), "entropy"))))
 
     return docs.withColumn("secrets", let(F.concat(*[named(a, k) for k, a in spans.items()]), of_text))
 

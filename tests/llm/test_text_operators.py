@@ -80,7 +80,7 @@ def test_windows_by_incremental_counts(spark):
     alphabet, least = secret_scan.CLASSES["base64"]
     runs = ["".join(r.choices(alphabet[: r.choice((8, 20, 67))], k=r.randrange(24, 70))) for _ in range(60)] + ["A" * 24 + "."]
     df = spark.createDataFrame([(x,) for x in runs], "m string")
-    got = df.select("m", secret_scan.window_span(F.col("m"), alphabet, least).alias("x")).collect()
+    got = df.select("m", secret_scan.window_span(F.split("m", ""), alphabet, least).alias("x")).collect()
     for row in got:
         m = row["m"]
         good = [i for i in range(len(m) - 23) if all(c in alphabet for c in m[i : i + 24]) and entropy(m[i : i + 24]) >= least]
@@ -88,6 +88,40 @@ def test_windows_by_incremental_counts(spark):
     assert secret_scan.scan(table(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_long_runs_and_many_matches(spark):
+    r = random.Random(9)
+    alphabet = secret_scan.CLASSES["base64"][0]
+    long_run = "".join(r.choices(alphabet, k=1_000_000))
+    key = "".join(r.sample(alphabet, 40))
+    many = f"token=abcdefgh {key} " * 50_000
+    got = {x["doc_id"]: x["n"] for x in secret_scan.scan(table(spark, [long_run, many])).select("doc_id", F.size("secrets").alias("n")).collect()}
+    assert got == {0: 1, 1: 100_000}
+
+
+def test_spans_that_meet(spark):
+    r = random.Random(10)
+    rows = []
+    for _ in range(200):
+        base = sorted({r.randrange(60) for _ in range(r.randrange(6))})
+        rows.append(([(s, s + r.randrange(1, 9)) for s in base], [(s, s + r.randrange(1, 9)) for s in r.sample(range(60), 5)]))
+    df = spark.createDataFrame(rows, "base array<struct<start:int,end:int>>, found array<struct<s:int,e:int>>")
+    for x in df.select("base", "found", secret_scan.without_overlap(F.col("found"), F.col("base")).alias("left")).collect():
+        want = [(f["s"], f["e"]) for f in x["found"] if not any(b["start"] < f["e"] and f["s"] < b["end"] for b in x["base"])]
+        assert sorted((f["s"], f["e"]) for f in x["left"]) == sorted(want)
+
+
+def test_running_sums_over_blocks(spark):
+    df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 4, 5, 23)], "v array<int>")
+    for x in df.select("v", secret_scan.running(F.col("v"), 0, lambda a, b: a + b, block=4).alias("s")).collect():
+        assert x["s"] == [sum(x["v"][:k]) for k in range(len(x["v"]))]
+
+
+def test_a_column_named_secrets_is_replaced(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh", "mine", "other")], "doc_id long, text string, SECRETS string, secret string")
+    got = secret_scan.scan(df)
+    assert [c.lower() for c in got.columns] == ["doc_id", "text", "secrets", "secret"] and len(got.collect()[0][2]) == 1
+
+
 # Benchmark
 
 
