@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +17,13 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A folder of our own only where none is named."""
+    """The folder that driver and executors share. Only a local master has a folder of its own where none is named."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"{tempfile.gettempdir()}/sketchloom-{spark.sparkContext.applicationId}"
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
@@ -24,21 +32,46 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = table_path(df.sparkSession, name)
+    """Write to the shared folder and read again: cuts lineage, survives lost executors. Spark drops the shuffle files behind it."""
+    spark = df.sparkSession
+    path = table_path(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a stored table that no later job reads."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete stored tables that no later job reads."""
+    for df in tables:
+        folders = {re.sub(r"^(.*/[^/]+-[0-9a-f]{32})/.*$", r"\1", f) for f in df.inputFiles()}
+        for folder in folders:
+            drop_path(df.sparkSession, folder)
+
+
+def others(df: DataFrame, *own: str) -> list[str]:
+    """The columns of df that no operator's own column replaces. Names are alike in any case, as Spark takes them."""
+    taken = {c.lower() for c in own}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

@@ -22,15 +22,22 @@ def prose(n, seed, size=200):
 # Lines
 
 
-def test_common_lines(spark):
+@pytest.mark.parametrize("in_place", [line_dedup.IN_PLACE_KEYS, 0])
+def test_common_lines(spark, in_place):
     r = random.Random(3)
     lines = [f"line {k}" for k in range(40)] + ["  Ähm A\t", "ähm a", "", "\x0b", "É"]
     texts = ["\n".join(r.choice(lines) for _ in range(r.randrange(1, 30))) for _ in range(60)]
     texts += [None, "", "\n\n", texts[0], texts[0], "only\r\nthis", "x" * 100_000 + "\nline 1"]
-    got = line_dedup.drop_common_lines(table(spark, texts)).collect()
+    got = line_dedup.drop_common_lines(table(spark, texts), in_place=in_place).collect()
     want = drop_lines(texts)
-    assert sorted((r["text"], r["n_dropped"]) for r in got) == sorted((t, n) for t, _, n in want)
-    assert all(r["row"] == "row" and r["kept"] == "kept" and r["n_lines"] == 7 for r in got)
+    assert sorted((r["text"], r["n_lines"], r["n_dropped"]) for r in got) == sorted(want)
+    assert all(r["row"] == "row" and r["kept"] == "kept" for r in got)
+
+
+def test_own_columns_replace_others_in_any_case(spark):
+    df = spark.createDataFrame([(1, "a", 7, "x", "y")], "DOC_ID long, Text string, N_Lines long, n_dropped string, batch string")
+    got = line_dedup.drop_common_lines(df)
+    assert got.columns == ["DOC_ID", "Text", "batch", "n_lines", "n_dropped"] and got.collect() == [(1, "a", "y", 1, 0)]
 
 
 def test_lines_of_repeated_ids_and_empty_tables(spark):
@@ -42,12 +49,23 @@ def test_lines_of_repeated_ids_and_empty_tables(spark):
 
 def test_levels_of_runs(spark):
     runs = line_dedup.LineRuns(spark, min_docs=3, fanout=2)
-    for batch in (["a", "b"], ["a", "c"], ["a", "b"], ["b", "d"], ["a"]):
+    seen = []
+    for batch in (["a", "b"], ["a", "c"], ["a", "b"], ["b", "d"], ["a", "e"], ["a", "e"]):
         df = spark.createDataFrame([(t,) for t in batch], "text string")
         runs.add(df.select(line_dedup.line_hashes(F.col("text")).alias("hashes")))
-    want = spark.createDataFrame([("a",), ("b",)], "k string").select(F.xxhash64("k").alias("a"), F.xxhash64(F.lit(1), "k").alias("b"))
-    assert sorted(runs.boilerplate().distinct().collect()) == sorted(want.collect())
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
+        seen.append([len(x) for x in runs.levels])
+    key = lambda *names: spark.createDataFrame([(n,) for n in names], "k string").select(F.xxhash64("k").alias("a"), F.xxhash64(F.lit(1), "k").alias("b"))
+    assert sorted(runs.boilerplate().collect()) == sorted(key("a", "b").collect())
+    assert seen == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1], [0, 1, 1]]
+    # "a" was closed by the fourth batch, so later batches leave it out of their runs.
+    closed = [x for c in runs.closed for x in spark.table(c).select("a", "b").collect()]
+    assert key("a").first() in closed
+    later = [x for r in runs.levels[1] for x in spark.table(r).select("a", "b", "n").collect()]
+    assert [tuple(x) for x in later] == [(*key("e").first(), 2)]
+    plan = runs._merged([runs.levels[1][0], runs.levels[2][0]])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.drop()
+    assert not runs._paths
 
 
 # Secrets
