@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sketchloom.llm import kernels as K
@@ -265,13 +265,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each group of near-duplicates: that with the smallest doc_id; columns stay as they are.
 
-    Documents without words and rows without a doc_id stay. Repeated rows with the same doc_id and text are one document.
+    Documents without words stay, and all rows without a doc_id. Rows with the same doc_id and text are one document,
+    whose row with the least hash of all its columns stays. Rows with the same doc_id and other texts are one node,
+    so they stay or go together.
     """
     names = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *row_key("doc_id", "text"))
-    found = near_duplicates(docs.select("doc_id", "text", *row_key("doc_id", "text")), words, num, den, keep=["rk1", "rk2"])
-    stays = found.where("component_id is null or component_id = doc_id").select("rk1", "rk2").distinct()
-    return keyed.dropDuplicates(["rk1", "rk2"]).join(stays, ["rk1", "rk2"], "left_semi").select(*[F.col("row")[c].alias(c) for c in names])
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    keyed = docs.select(whole.alias("row"), F.col("doc_id").alias("d"), *row_key("doc_id", "text"))
+    found = stored(near_duplicates(docs.select("doc_id", "text", *row_key("doc_id", "text")), words, num, den, keep=["rk1", "rk2"]), "near-rows")
+    known = found.where("doc_id is not null").groupBy("rk1", "rk2").agg(F.count("*").alias("rows"), F.max(F.col("component_id") != F.col("doc_id")).alias("goes"))
+    # Few rows go or are repeated; the others stay where they are.
+    moved = stored(known.where("goes or rows > 1"), "near-moved")
+    few = moved.count() <= BROADCAST_IDS
+    moved = F.broadcast(moved) if few else moved
+    single = keyed.where("d is not null").join(moved, ["rk1", "rk2"], "left_anti").select("row").unionByName(keyed.where("d is null").select("row"))
+    again = keyed.where("d is not null").join(moved.where("not goes"), ["rk1", "rk2"])
+    # The rest of a repeated row's columns decide, equal rows are interchangeable.
+    order = Window.partitionBy("rk1", "rk2").orderBy("h")
+    first = again.withColumn("h", F.xxhash64("row")).withColumn("rank", F.row_number().over(order)).where("rank = 1").select("row")
+    return single.unionByName(first).select(*[F.col("row")[c].alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

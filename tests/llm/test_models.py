@@ -58,6 +58,17 @@ def test_rows_without_and_with_shared_ids(spark):
     left = near_dedup.drop_near_duplicates(table(spark, rows).withColumn("row", F.lit(1)))
     assert left.columns == ["doc_id", "text", "row"] and sorted(str(r["doc_id"]) for r in left.collect()) == ["11", "5", "5", "None"]
     assert near_dedup.near_duplicates(table(spark, rows).limit(0)).count() == 0
+    assert near_dedup.drop_near_duplicates(table(spark, rows).limit(0)).count() == 0
+
+
+def test_no_row_without_an_id_is_lost(spark):
+    a = prose(50, 1)
+    rows = [(None, a, 1), (None, a, 1), (None, a, 2), (None, None, 1), (None, None, 1), (4, a, 1), (4, a, 2), (4, a, 2), (6, a, 9), (8, "", 1), (8, None, 1), (9, "", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rk1 long")
+    left = [tuple(r) for r in near_dedup.drop_near_duplicates(df).collect()]
+    key = lambda r: (str(r[0]), str(r[1]), r[2])
+    assert sorted((r for r in left if r[0] is None), key=key) == sorted(rows[:5], key=key)
+    assert sorted(r[0] for r in left if r[0] is not None) == [4, 8, 8, 9]
 
 
 def test_a_pair_under_the_distance_shares_a_key():
