@@ -10,7 +10,13 @@ Documents with equal sets are one class first. A key that only one class has is
 summed before the shuffle, and keys with the same members are one bucket. Buckets get their members' whole
 sets; inside a bucket, bit vectors give exact intersections, classes that are connected already are skipped,
 and only links that connect something are returned, so a bucket of n classes returns fewer than n rows. A
-bucket of over `BLOCK` classes is split into pairs of blocks, each a group of its own.
+bucket of over `BLOCK` classes or `BLOCK_BYTES` of sets is cut into blocks. Blocks are linked in themselves first,
+and to each other by a few members of each. What that leaves outside the bucket's largest component is then
+compared with all the bucket's blocks; members of one component never are, as a link between them would add
+nothing. So a bucket of near copies costs its size, not the square of it.
+
+Links are lost only where two sets at the threshold differ in more symbols than the distance allows: for a pair
+right at the threshold with a probability below `MISS`, for more similar ones far less.
 """
 
 from __future__ import annotations
@@ -30,6 +36,10 @@ from sketchloom.llm.shared import BINARY, LONG, documents, row_key, schema, stor
 CHUNK = 4
 MISS = 1e-5
 BLOCK = 2048
+#: Bytes of the sets of a block, about. A larger set is a block's only one.
+BLOCK_BYTES = 32 << 20
+#: Members of a block that are compared with those of the bucket's other blocks at once.
+HUBS = 4
 #: Up to so many ids of 8 bytes are broadcast.
 BROADCAST_IDS = 200_000
 
@@ -198,6 +208,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")),
         "classes",
     )
+    key_fields = dict(key=LONG, rep=LONG, f1=LONG, n_shingles=LONG)
 
     def enumerate_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,15 +216,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
             keys = signer.keys(raw).view(np.int64)
             for lo in range(0, len(raw), 2000):
                 part = keys[lo : lo + 2000]
-                columns = [pa.array(np.repeat(batch.column(c).to_numpy()[lo : lo + 2000], signer.size)) for c in ("rep", "f1")]
-                yield pa.RecordBatch.from_arrays([pa.array(part.reshape(-1)), *columns], names=["key", "rep", "f1"])
+                columns = [pa.array(np.repeat(batch.column(c).to_numpy()[lo : lo + 2000], signer.size)) for c in ("rep", "f1", "n_shingles")]
+                yield pa.RecordBatch.from_arrays([pa.array(part.reshape(-1)), *columns], names=list(key_fields))
 
-    keys = classes.select("rep", "f1", "signature").mapInArrow(enumerate_keys, schema(key=LONG, rep=LONG, f1=LONG))
+    keys = classes.select("rep", "f1", "n_shingles", "signature").mapInArrow(enumerate_keys, schema(**key_fields))
     member = F.xxhash64("rep", "f1")
-    counted = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64(F.lit(5), "f1", "rep")).alias("y")).where("n > 1")
-    buckets = stored(counted.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
+    counted = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.bit_xor(member).alias("x"), F.bit_xor(F.xxhash64(F.lit(5), "f1", "rep")).alias("y")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("int")
+    buckets = stored(counted.groupBy("n", "shingles", "x", "y").agg(F.min("key").alias("key")).select("key", blocks.alias("blocks")), "buckets")
     small = buckets.count() <= BROADCAST_IDS
-    members = stored(keys.join(F.broadcast(buckets) if small else buckets, "key"), "members")
+    own = F.pmod(F.xxhash64(F.lit(9), "rep"), F.col("blocks")).cast("int")
+    members = stored(keys.join(F.broadcast(buckets) if small else buckets, "key").select("key", "rep", "f1", "blocks", own.alias("own")), "members")
 
     wanted = members.select("rep", "f1").distinct()
     few = wanted.count() <= BROADCAST_IDS
@@ -233,12 +246,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     chosen = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = chosen.mapInArrow(extract, schema(rep=LONG, f1=LONG, values=BINARY, sig=BINARY)).dropDuplicates(["rep", "f1"])
-    # Blocks: a bucket of n members has ceil(n / block) of them, and each pair of blocks is a group.
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(9), "rep"), blocks).cast("int")
-    pairs = members.withColumn("blocks", blocks).withColumn("own", own).select("key", "rep", "f1", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = pairs.select("key", "rep", "f1", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
-
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple[int, int]] = []
         for g in groups(batches, ["key", "i", "j"]):
@@ -250,8 +257,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
                 done = []
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.int64()), pa.array([y for _, y in done], pa.int64())], names=["a", "b"])
 
-    dealt = placed.join(sets, ["rep", "f1"]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    edges = dealt.select("key", "i", "j", "rep", "side", "sig", "values").mapInArrow(confirm, schema(a=LONG, b=LONG))
+    def links(placed: DataFrame) -> DataFrame:
+        """placed: key, rep, f1, group (i, j) and side."""
+        dealt = placed.join(sets, ["rep", "f1"]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return dealt.select("key", "i", "j", "rep", "side", "sig", "values").mapInArrow(confirm, schema(a=LONG, b=LONG))
+
+    lone = F.lit(-1).alias("side")
+    inside = members.select("key", "rep", "f1", F.col("own").alias("i"), F.col("own").alias("j"), lone)
+    many = buckets.where("blocks > 1")
+    if not many.limit(1).count():
+        edges = links(inside)
+    else:
+        large = members.where("blocks > 1")
+        order = Window.partitionBy("key", "own").orderBy("rep")
+        hubs = large.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= HUBS).select("key", "rep", "f1", F.lit(-1).alias("i"), F.lit(-1).alias("j"), lone)
+        first = stored(links(inside.unionByName(hubs)), "links")
+        label = stored(components(first).withColumnRenamed("node", "rep"), "labels")
+        tagged = stored(large.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "tagged")
+        sizes = tagged.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.max("n").alias("n"), F.sum("n").alias("every"))
+        mixed = sizes.where("n < every").select("key", "most", F.ceil((F.col("every") - F.col("n")) / block).cast("int").alias("odd_blocks"))
+        rest = tagged.join(mixed, "key")
+        # The odd ones have blocks numbered from `blocks` on; they meet all others and each other.
+        odd = rest.where("component <> most").withColumn("own", F.col("blocks") + F.pmod(F.xxhash64(F.lit(10), "rep"), F.col("odd_blocks")).cast("int"))
+        others_ = rest.where("component = most")
+        against = F.explode(F.sequence(F.lit(0), F.col("blocks") + F.col("odd_blocks") - 1))
+        side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side")
+        ends = (F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        pairs = odd.withColumn("other", against).select("key", "rep", "f1", *ends, side)
+        met = others_.withColumn("other", F.explode(F.sequence(F.col("blocks"), F.col("blocks") + F.col("odd_blocks") - 1))).select("key", "rep", "f1", *ends, side)
+        edges = first.unionByName(links(pairs.unionByName(met)))
     # A doc_id with several sets is one node: link the classes that it belongs to.
     repeated = signed.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id")
     split = signed.join(repeated, "doc_id").where("n_shingles > 0").join(classes.select("n_shingles", "f1", "f2", "rep"), ["n_shingles", "f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
