@@ -6,12 +6,12 @@ documents with a gap between two, so no phrase crosses from one into the next. `
 shards, not the texts. For each window of test words it starts from the window's rarest term in
 that shard, shifts the posting list by the term's offset, and intersects with the lists of the
 next rarest terms; a term without postings ends its windows at once. What is left after all terms
-are exact occurrences. The same lists give proximity matches: an item's rare terms
+are exact occurrences. The same lists give proximity matches: all of an item's terms
 close together in any order.
 
 The index is split by documents, so no posting list of a frequent word meets in one task, and
-nothing is shuffled at all. Test items are taken in blocks of at most `BLOCK_CHARS` characters;
-one block is sent to all tasks, and for several blocks each shard's hits are carried from block to block.
+nothing is shuffled at all. Test items are taken in blocks of about `BLOCK_CHARS` characters;
+one block at a time is sent to all tasks, and each shard's hits are carried from block to block.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from sketchloom.llm import kernels as K
-from sketchloom.llm.shared import BINARY, LONG, STRING, documents, row_key, schema, stored
+from sketchloom.llm.shared import BINARY, LONG, STRING, documents, keeping, row_key, schema, stored
 
 #: Words of a window; an item of fewer words is one window.
 WINDOW = 8
+#: Words that a stretch with all of an item's terms may have more than the item.
+SLOP = 8
 #: Characters of test items in a block.
 BLOCK_CHARS = 16_000_000
 #: Bytes of documents in a shard.
@@ -62,13 +64,26 @@ class Windows:
         # Equal windows are looked up once.
         self.distinct, self.which = np.unique(self.terms, axis=0, return_inverse=True) if len(self.terms) else (self.terms, self.owner)
         self.which = self.which.reshape(-1)
+        self.words = np.diff(at)
+        owned = np.unique(np.repeat(np.arange(len(self.ids)), self.words) * max(len(self.vocabulary), 1) + coded.reshape(-1))
+        self.owned = owned % max(len(self.vocabulary), 1)
+        self.owned_at = np.searchsorted(owned // max(len(self.vocabulary), 1), np.arange(len(self.ids) + 1))
+
+    def item_terms(self, k: int) -> np.ndarray:
+        """The distinct terms of an item."""
+        return self.owned[self.owned_at[k] : self.owned_at[k + 1]]
+
+    def rare(self, counts: np.ndarray) -> np.ndarray:
+        """Which items have words, all of which have postings."""
+        missing = np.concatenate(([0], np.cumsum(counts[self.owned] == 0)))
+        return (self.words > 0) & (missing[self.owned_at[1:]] == missing[self.owned_at[:-1]])
 
 
 def build_index(docs: DataFrame, keep: list[str], vocabulary: np.ndarray | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Shards of the documents' words, stored. keep: long columns that go with each document.
 
-    vocabulary: sorted hashes of the terms whose postings are kept; None keeps all. Null and empty
-    texts have no words.
+    vocabulary: sorted hashes of the terms whose postings are kept, to prune an index that serves one set of items;
+    None keeps all. Null and empty texts have no words.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     out = schema(**{k: ArrayType(LONG) for k in keep}, n_words=BINARY, base=BINARY, terms=BINARY, offsets=BINARY, positions=BINARY)
@@ -169,43 +184,58 @@ class Shard:
             lo = hi
         return np.concatenate(found_w) if found_w else np.zeros(0, np.int64), np.concatenate(found_p) if found_p else np.zeros(0, np.int64)
 
-    def near(self, terms: np.ndarray, slop: int) -> np.ndarray:
-        """Positions of terms[0], the rarest, with all other terms at most `slop` words away in any order."""
+    def near(self, terms: np.ndarray, stretch: int) -> np.ndarray:
+        """Documents in which all the terms stand within `stretch` consecutive words, in any order."""
         terms = terms[np.argsort(self.counts[terms], kind="stable")]
-        p = self.positions[self.begin[terms[0]] : self.begin[terms[0] + 1]]
-        doc = np.searchsorted(self.base, p, "right")
-        for t in terms[1:]:
-            other = self.positions[self.begin[t] : self.begin[t + 1]]
-            if not len(other):
-                return p[:0]
-            after = np.searchsorted(other, p)
-            ok = np.zeros(len(p), bool)
-            for cand in (other[np.minimum(after, len(other) - 1)], other[np.maximum(after - 1, 0)]):
-                ok |= (np.abs(cand - p) <= slop) & (np.searchsorted(self.base, cand, "right") == doc)
-            p, doc = p[ok], doc[ok]
-        return p
-
-
-def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size; rows without an id or a text are none."""
-    items = items.where("item_id is not null and text is not null").select("item_id", "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_chars))
+        lists = [self.positions[self.begin[t] : self.begin[t + 1]] for t in terms]
+        p = lists[0]
+        lo = self.base[np.searchsorted(self.base, p, "right") - 1]
+        hi = self.base[np.searchsorted(self.base, p, "right")] - 1
+        lo, hi = np.maximum(lo, p - stretch + 1), np.minimum(hi, p + stretch)
+        for other in lists[1:]:  # from the rarest term on, spots that lack another term near by go
+            ok = np.searchsorted(other, lo) < np.searchsorted(other, hi)
+            p, lo, hi = p[ok], lo[ok], hi[ok]
+            if not len(p):
+                return p
+        found = []
+        for a, b in zip(lo.tolist(), hi.tolist()):
+            around = [x[np.searchsorted(x, a) : np.searchsorted(x, b)] for x in lists]
+            ends = np.unique(np.concatenate(around))
+            # The least of the terms' last positions up to an end tells if a stretch that ends there holds all.
+            last = np.min([np.where((at := np.searchsorted(x, ends, "right")) > 0, x[np.maximum(at - 1, 0)], -1) for x in around], axis=0)
+            if (last > ends - stretch).any() and (last[last > ends - stretch] >= a).any():
+                found.append(a)
+        return np.unique(np.searchsorted(self.base, np.array(found, np.int64), "right") - 1)
+
+
+def _real(items: DataFrame) -> DataFrame:
+    return items.where("item_id is not null and text is not null").select("item_id", "text")
+
+
+def block_count(items: DataFrame, block_chars: int = BLOCK_CHARS) -> int:
+    total = _real(items).agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(1, -(-total // block_chars))
+
+
+def item_blocks(items: DataFrame, n: int) -> Iterator[list[tuple[int, str]]]:
+    """Items in n blocks, one at a time; rows without an id or a text are none."""
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        part = _real(items) if n == 1 else _real(items).where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
         yield [tuple(r) for r in part.collect()]
 
 
-def search(docs: DataFrame, items: DataFrame, keep: list[str], slop: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, keep: list[str], slop: int | None = SLOP, block_chars: int = BLOCK_CHARS, shards: DataFrame | None = None) -> DataFrame:
     """One row for each document: kept columns, n_words, n_hit, item_ids (found, sorted as strings), near_ids.
 
-    Items without words are found nowhere. Items that share an id are one item. near_ids, for slop > 0, are the
-    items whose three rarest terms stand at most slop words apart. No items or no documents give no hits or no rows.
+    Items without words are found nowhere. Items that share an id are one item. near_ids are the items all of whose
+    distinct terms stand within as many consecutive words as the item has, and `slop` more, in any order; None looks for
+    none. No items or no documents give no hits or no rows. Repeated rows get a row each. Kept columns that bear a name
+    of the result's own in any case are left out. shards: an index that build_index made of these docs with these kept
+    columns, to search it again; else one of all terms is built.
     """
     spark = docs.sparkSession
-    blocks = [Windows(b) for b in item_blocks(items, block_chars)]
-    vocabulary = blocks[0].vocabulary if len(blocks) == 1 else None
-    shards = build_index(docs, keep, vocabulary)
+    docs, keep, back = keeping(docs, keep, ("n_words", "n_hit", "item_ids", "near_ids"), "text")
+    shards = build_index(docs, keep) if shards is None else shards.withColumnsRenamed(dict(zip(shards.columns, keep)))
     carried = {"hit": BINARY, "doc": BINARY, "item": BINARY, "near_doc": BINARY, "near_item": BINARY}
     state = schema(**{k: ArrayType(LONG) for k in keep}, n_words=BINARY, base=BINARY, terms=BINARY, offsets=BINARY, positions=BINARY, **carried)
 
@@ -229,14 +259,10 @@ def search(docs: DataFrame, items: DataFrame, keep: list[str], slop: int = 0, bl
                     doc = np.repeat(np.searchsorted(s.base, p, "right") - 1, n)
                     ids = np.array(win.ids, np.int64)
                     near_doc, near_item = [], []
-                    for k in range(len(win.ids)) if slop else ():
-                        own = np.unique(win.terms[win.owner == k])
-                        own = own[own >= 0]
-                        own = own[np.argsort(s.counts[own], kind="stable")][:3]
-                        if len(own) and s.counts[own[0]]:
-                            d = np.unique(np.searchsorted(s.base, s.near(own, slop), "right") - 1)
-                            near_doc += d.tolist()
-                            near_item += [win.ids[k]] * len(d)
+                    for k in np.flatnonzero(win.rare(s.counts)).tolist() if slop is not None else ():
+                        d = s.near(win.item_terms(k), int(win.words[k]) + slop)
+                        near_doc += d.tolist()
+                        near_item += [win.ids[k]] * len(d)
                     found = {"doc": doc, "item": ids[owner] if len(owner) else owner, "near_doc": np.array(near_doc, np.int64), "near_item": np.array(near_item, np.int64)}
                     if not first:
                         hit = hit | np.frombuffer(row["hit"], bool)
@@ -265,20 +291,27 @@ def search(docs: DataFrame, items: DataFrame, keep: list[str], slop: int = 0, bl
         columns += [pa.array(lists[k], pa.list_(pa.string())) for k in ("doc", "near_doc")]
         return pa.RecordBatch.from_arrays(columns, names=result.names)
 
-    for k, windows in enumerate(blocks):
-        last = k == len(blocks) - 1
-        sent = spark.sparkContext.broadcast(windows)
-        shards = shards.mapInArrow(step(sent, k == 0, last), result if last else state)
-        if not last:
-            shards = stored(shards, "shards")
-    return shards
+    n_blocks = block_count(items, block_chars)
+    for k, block in enumerate(item_blocks(items, n_blocks)):
+        last = k == n_blocks - 1
+        sent = spark.sparkContext.broadcast(Windows(block))
+        found = shards.mapInArrow(step(sent, k == 0, last), result if last else state)
+        if last:
+            return back(found)
+        # One block's windows are held at a time; what was found goes on in the stored shards.
+        shards = stored(found, "shards")
+        sent.unpersist()
+    raise AssertionError("there is always a block")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, min_items: int = 1) -> DataFrame:
-    """docs without those in which windows of at least min_items items occur; all columns stay as they are."""
+    """docs without those in which windows of at least min_items items occur; all columns stay as they are.
+
+    Rows that share doc_id and text stay or go together. Null texts and wordless ones stay.
+    """
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *row_key("doc_id", "text"))
-    found = search(docs.select(*row_key("doc_id", "text"), "text"), items, ["rk1", "rk2"])
+    found = search(docs.select(*row_key("doc_id", "text"), "text"), items, ["rk1", "rk2"], slop=None)
     bad = stored(found.where(F.size("item_ids") >= min_items).select("rk1", "rk2").distinct(), "contaminated")
     small = bad.count() <= BROADCAST_KEYS
     return keyed.join(F.broadcast(bad) if small else bad, ["rk1", "rk2"], "left_anti").select(*[F.col("row")[c].alias(c) for c in names])
@@ -288,7 +321,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = search(documents(spark, sf_dir, "doc_id", "text"), items, ["doc_id"])
     n = F.size("item_ids").cast("long")
-    return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"), F.array_join("near_ids", ",").alias("near_ids"))
 
 
 SQL = r"""
@@ -305,8 +338,20 @@ pos as (
   from (select r, w, n, unnest(range(1, len(w) - n + 2)) as p from d, sizes where len(w) >= n)
 ), hits as (select r, p, n, item_id from pos join win using (n, k)),
 hit_words as (select r, count(distinct q) as n_hit from (select r, unnest(range(p, p + n)) as q from hits) group by r),
-found as (select r, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct r, item_id::varchar as i from hits) group by r)
+found as (select r, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct r, item_id::varchar as i from hits) group by r),
+dw as (select r, p, w[p] as t from (select r, w, unnest(range(1, len(w) + 1)) as p from d)),
+bt as (select item_no, any_value(item_id) as item_id, any_value(n) as n, t from (select item_no, item_id, n, unnest(w) as t from (select row_number() over () as item_no, item_id, len(w) as n, w from b)) group by item_no, t),
+used as (select * from dw where t in (select t from bt)),
+freq as (select r, t, count(*) as c from used group by r, t),
+cover as (select item_no, r, count(*) as k from bt join freq using (t) group by item_no, r),
+full_items as (select item_no, r from cover join (select item_no, count(*) as k from bt group by item_no) using (item_no, k)),
+spots as (select f.item_no, f.r, x.t, x.p, bt.n from full_items f join bt using (item_no) join used x on x.r = f.r and x.t = bt.t),
+together as (
+  select a.item_no, a.r from spots a join spots o on o.item_no = a.item_no and o.r = a.r and o.p between a.p - a.n - {SLOP} + 1 and a.p
+  group by a.item_no, a.r, a.p having count(distinct o.t) = (select count(*) from bt where bt.item_no = a.item_no)
+),
+near as (select r, string_agg(i, ',' order by i) as ids from (select distinct r, item_id::varchar as i from together join bt using (item_no)) group by r)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
-from d left join hit_words using (r) left join found using (r)
-"""
+  sha256(coalesce(found.ids, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated, coalesce(near.ids, '') as near_ids
+from d left join hit_words using (r) left join found using (r) left join near using (r)
+""".replace("{SLOP}", str(SLOP))

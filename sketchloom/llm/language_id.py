@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.llm import kernels as K
 from sketchloom.llm.byte_bpe import code_points
-from sketchloom.llm.shared import BOOL, DOUBLE, LONG, STRING, documents, schema
+from sketchloom.llm.shared import BOOL, DOUBLE, LONG, STRING, documents, keeping, schema
 
 ORDER = 4
 #: Documents of each language that are used to train and calibrate, about.
@@ -267,8 +267,10 @@ def identify(docs: DataFrame, model: Model, calibration: Calibration, keep: list
     """keep (long columns of docs), lang_pred, score, rejected, cross_entropy (nats per symbol).
 
     Only text is looked at. Null, empty and letterless texts are `und` with score 0, as is everything
-    if no language was learned. Equal entropies choose the language first in order.
+    if no language was learned. Equal entropies choose the language first in order. Rows are taken one by one; kept
+    columns that bear a name of the result's own in any case are left out. No rows give no rows.
     """
+    docs, keep, back = keeping(docs, keep, ("lang_pred", "score", "rejected", "cross_entropy"), "text")
     sent = docs.sparkSession.sparkContext.broadcast((model, calibration))
     out = schema(**{k: LONG for k in keep}, lang_pred=STRING, score=DOUBLE, rejected=BOOL, cross_entropy=DOUBLE)
 
@@ -294,7 +296,7 @@ def identify(docs: DataFrame, model: Model, calibration: Calibration, keep: list
                 columns += [pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected), pa.array(least)]
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    return docs.select(*keep, "text").mapInArrow(choose, out)
+    return back(docs.mapInArrow(choose, out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

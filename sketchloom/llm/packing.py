@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sketchloom.llm import byte_bpe
-from sketchloom.llm.shared import INT, LONG, documents, schema, stored
+from sketchloom.llm.shared import INT, LONG, documents, keeping, schema, stored
 
 WINDOW = 1024
 END = 0
@@ -160,9 +160,11 @@ def pack(docs: DataFrame, keep: list[str], tokenizer: str, window: int = WINDOW,
     """One row for each piece: kept columns, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     Null and empty texts are the id `end` alone. Sequences are gapless from offset 0 and hold at most
-    `window` ids; no id is lost or doubled. No documents give no rows. Repeated rows are packed each.
+    `window` ids; no id is lost or doubled. No documents give no rows. Repeated rows are packed each. Kept columns that
+    bear a name of the result's own in any case are left out.
     """
     spark = docs.sparkSession
+    docs, keep, back = keeping(docs, keep, ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"), "text")
     cut = pieces(docs, keep, tokenizer, window, end, with_ids)
     counts = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -190,7 +192,7 @@ def pack(docs: DataFrame, keep: list[str], tokenizer: str, window: int = WINDOW,
             new = {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c) if c in new else batch.column(c) for c in result.names], names=result.names)
 
-    return ranked.select(*[c for c in result.names if c not in ("sequence_id", "offset")], "rank").mapInArrow(put, result)
+    return back(ranked.select(*[c for c in result.names if c not in ("sequence_id", "offset")], "rank").mapInArrow(put, result))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

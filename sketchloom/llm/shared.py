@@ -9,7 +9,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +72,17 @@ def others(df: DataFrame, *own: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def keeping(docs: DataFrame, keep: list[str], own: tuple[str, ...], *more: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """docs with its kept columns under names that meet no other, those names, and what gives a result the old ones back.
+
+    Kept columns with a name of `own`, the result's own columns, in any case are left out: the result's replace them.
+    """
+    taken = {c.lower() for c in own}
+    keep = [k for k in keep if k.lower() not in taken]
+    inner = [f"kept_{k}" for k in range(len(keep))]
+    return docs.select(*[F.col(f"`{k}`").alias(i) for k, i in zip(keep, inner)], *more), inner, lambda out: out.withColumnsRenamed(dict(zip(inner, keep)))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

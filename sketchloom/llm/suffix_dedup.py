@@ -11,7 +11,8 @@ is the stretch that holds all strings it owns. Three cases remain:
   than their successors are sorted directly, the others follow by scans of the buckets; neighbours
   in the array that share `LENGTH` bytes are repeats.
 
-A group of over `SPLIT` distinct contexts is split by the strings themselves, which are counted by hash.
+A group of over `SPLIT` distinct contexts, too large for one task's array, is dealt by the strings themselves: those with
+the same 128-bit hash meet, which is where an array's neighbours would have a common prefix of `LENGTH`.
 Documents are known by a 128-bit hash of their text, as equal texts have equal results.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.llm import kernels as K
 from sketchloom.llm.near_dedup import groups
-from sketchloom.llm.shared import BINARY, INT, LONG, documents, drop_path, schema, stored
+from sketchloom.llm.shared import BINARY, INT, LONG, documents, drop_stored, keeping, schema, stored
 
 LENGTH = 200
 GRAM = 64
@@ -35,11 +36,16 @@ GRAM = 64
 SPLIT = 8192
 #: Bytes of contexts in one suffix array; a larger group is still one.
 ARRAY_BYTES = 1 << 16
+#: Starts of strings that are looked at together; a longer text is cut into such stretches, which overlap by a string.
+SEGMENT = 1 << 24
+#: Low bits of a hash that make room for positions, so that ties go to the leftmost.
 _POSITION_BITS = 28
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """For each anchor: text, first and last string owned (byte starts in data), the anchor's start, hashes of anchor and context."""
+    if len(data) >> _POSITION_BITS:
+        raise ValueError("too many bytes at once")
     window = length - gram + 1
     counts = np.maximum(np.diff(off) - length + 1, 0)
     if not counts.sum():
@@ -106,6 +112,22 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def common_prefixes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each row of a with that of b."""
+    differs = a != b
+    return np.where(differs.any(1), differs.argmax(1), a.shape[1])
+
+
+def stretches_of(off: np.ndarray, length: int, segment: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first text, last text, first byte, last byte) of stretches of about a block; a text over `segment` bytes has several."""
+    for lo, hi in K.blocks(off):
+        size = int(off[hi] - off[lo])
+        for begin in range(0, max(1, size if hi - lo == 1 else 1), segment):
+            end = min(size, begin + segment + length - 1) if hi - lo == 1 else size
+            if begin == 0 or end - begin >= length:
+                yield lo, hi, int(off[lo]) + begin, int(off[lo]) + end
+
+
 def repeated(contexts: list[bytes], length: int) -> list[np.ndarray]:
     """For each context, which of its `length`-byte strings (by start) also start anywhere else in the contexts."""
     sizes = np.array([len(c) for c in contexts])
@@ -121,10 +143,10 @@ def repeated(contexts: list[bytes], length: int) -> list[np.ndarray]:
     marks = np.zeros(len(symbols), bool)
     if len(order) > 1:
         windows = np.lib.stride_tricks.sliding_window_view(joined, length)
-        for lo in range(0, len(order) - 1, 4096):  # adjacent common prefixes, as far as they matter
+        for lo in range(0, len(order) - 1, 4096):
             a, b = order[lo : lo + 4096], order[lo + 1 : lo + 4097]
             a = a[: len(b)]
-            same = (windows[a] == windows[b]).all(1)
+            same = common_prefixes(windows[a], windows[b]) >= length
             marks[a[same]] = True
             marks[b[same]] = True
     return [marks[s : s + max(0, n - length + 1)] for s, n in zip(begin, sizes)]
@@ -153,7 +175,7 @@ def _packed(texts: DataFrame, keep: list[str]) -> DataFrame:
     return texts.select(*keep, "text").mapInArrow(pack, schema(**{k: LONG for k in keep}, z=BINARY))
 
 
-def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
+def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT, segment: int = SEGMENT) -> DataFrame:
     """(t1, t2, at): ranges of starts of repeated strings, packed as first * 2**32 + last. texts: t1, t2, text, a row for each document."""
     spark = texts.sparkSession
     fields = dict(t1=LONG, t2=LONG, lo=INT, hi=INT, gram=LONG, context=LONG)
@@ -161,25 +183,27 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.utf8(batch.column("text"))
-            for lo, hi in K.blocks(off):
-                begin = off[lo : hi + 1] - off[lo]
-                text, first, last, _, gram_hash, context = anchors(data[off[lo] : off[hi]], begin, length, gram)
+            for lo, hi, begin, end in stretches_of(off, length, segment):
+                text, first, last, _, gram_hash, context = anchors(data[begin:end], np.clip(off[lo : hi + 1] - begin, 0, end - begin), length, gram)
                 t1, t2 = (batch.column(c).to_numpy()[lo:hi][text] for c in ("t1", "t2"))
-                columns = [pa.array(x) for x in (t1, t2, (first - begin[text]).astype(np.int32), (last - begin[text]).astype(np.int32), gram_hash, context)]
+                base = begin - off[lo:hi][text]
+                columns = [pa.array(x) for x in (t1, t2, (first + base).astype(np.int32), (last + base).astype(np.int32), gram_hash, context)]
                 for a in range(0, len(text), 20_000):
                     yield pa.RecordBatch.from_arrays([c.slice(a, 20_000) for c in columns], names=list(fields))
 
     found = stored(texts.mapInArrow(find, schema(**fields)), "anchors")
-    shared = found.groupBy("gram").agg(F.count("*").alias("n"), F.bit_xor("context").alias("x"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
-    among = stored(found.join(shared.select("gram", (F.col("least") == F.col("most")).alias("single")), "gram"), "shared-anchors")
-    drop_path(spark, found.inputFiles()[0].rsplit("/", 1)[0]) if found.inputFiles() else None
+    # What is joined with the anchors is stored first, so that AQE can split the hot grams of either join.
+    shared = stored(found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1").select("gram", (F.col("least") == F.col("most")).alias("single")), "shared-grams")
+    among = stored(found.join(shared, "gram"), "shared-anchors")
+    drop_stored(found, shared)
 
     pack = (F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")).alias("at")
     several = among.where("not single")
-    kinds = several.groupBy("gram", "context").agg(F.count("*").alias("copies"))
-    by_gram = kinds.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("copies").alias("rarest"))
+    kinds = stored(several.groupBy("gram", "context").agg(F.count("*").alias("copies")), "kinds")
+    by_gram = stored(kinds.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("copies").alias("rarest")), "grams")
     known = stored(kinds.join(by_gram, "gram"), "contexts")
     counted = stored(several.join(known, ["gram", "context"]), "counted-anchors")
+    drop_stored(kinds, by_gram)
     settled = among.where("single").select("t1", "t2", pack).unionByName(counted.where("copies > 1").select("t1", "t2", pack))
     # One context of each kind stands for its copies.
     open_ = counted.where("rarest = 1").dropDuplicates(["gram", "context"])
@@ -247,15 +271,17 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int
     return settled.unionByName(sorted_)
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, gram: int = GRAM, split: int = SPLIT, segment: int = SEGMENT) -> DataFrame:
     """keep (long columns of docs), n_bytes, n_removed, n_spans, kept (bytes), a row for each row of docs.
 
     A byte goes if a `length`-byte string that covers it also starts elsewhere, in the same or another
     text, as the input stands. Null is an empty text; shorter texts stay whole. Equal rows are copies of each
-    other, so they lose all that is at least `length` bytes.
+    other, so they lose all that is at least `length` bytes. Columns of docs that are not in keep are left out, and
+    kept ones that bear a name of the result's own in any case. No rows give no rows.
     """
+    docs, keep, back = keeping(docs, keep, ("n_bytes", "n_removed", "n_spans", "kept"), "text")
     texts = _texts(docs, *keep)
-    marks = repeats(texts.select("t1", "t2", "text"), length, gram, split).groupBy("t1", "t2").agg(F.collect_set("at").alias("at"))
+    marks = repeats(texts.select("t1", "t2", "text"), length, gram, split, segment).groupBy("t1", "t2").agg(F.collect_set("at").alias("at"))
     out = schema(**{k: LONG for k in keep}, n_bytes=LONG, n_removed=LONG, n_spans=LONG, kept=BINARY)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +311,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, gram:
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     joined = _packed(texts, [*keep, "t1", "t2"]).join(marks, ["t1", "t2"], "left")
-    return joined.select(*keep, "z", "at").mapInArrow(remove, out)
+    return back(joined.select(*keep, "z", "at").mapInArrow(remove, out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

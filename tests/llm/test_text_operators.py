@@ -169,11 +169,30 @@ def test_windows_found_by_the_index(spark, leaky, block):
         assert row["n_words"] == n
 
 
+def near(text, item, slop):
+    w, terms = alnum(text), set(alnum(item))
+    size = len(alnum(item)) + slop
+    return bool(terms) and any(terms <= set(w[i : i + size]) for i in range(len(w)))
+
+
+def test_all_terms_near_each_other(spark):
+    r = random.Random(41)
+    items = [(k, prose(r.randrange(1, 5), 300 + k, 9)) for k in range(8)] + [(9, "..."), (10, "none such")]
+    docs = [prose(r.randrange(0, 40), 600 + k, 12) for k in range(60)] + [None, ""]
+    got = decontaminate.search(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], slop=2).orderBy("doc_id").collect()
+    assert [x["near_ids"] for x in got] == [sorted(str(i) for i, t in items if near(d, t, 2)) for d in docs]
+
+
 def test_proximity_and_empty_tables(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon zeta")], "item_id long, text string")
     docs = table(spark, ["gamma x alpha y beta", "alpha " + "z " * 30 + "beta gamma", "zeta epsilon delta", "x"])
     got = decontaminate.search(docs, items, ["doc_id"], slop=4).orderBy("doc_id").collect()
     assert [r["near_ids"] for r in got] == [["1"], [], ["2"], []] and all(r["item_ids"] == [] for r in got)
+    assert all(r["near_ids"] == [] for r in decontaminate.search(docs, items, ["doc_id"], slop=None).collect())
+    index = decontaminate.build_index(docs, ["doc_id"])
+    again = decontaminate.search(docs, items, ["doc_id"], slop=4, shards=index).orderBy("doc_id").collect()
+    assert again == got and decontaminate.search(docs, items, ["doc_id", "n_lines"]).columns == ["doc_id", "n_lines", "n_words", "n_hit", "item_ids", "near_ids"]
+    assert decontaminate.search(docs.withColumn("N_Hit", F.lit(3)), items, ["N_Hit"]).columns == ["n_words", "n_hit", "item_ids", "near_ids"]
     assert decontaminate.search(docs, items.limit(0), ["doc_id"]).where("n_hit > 0").count() == 0
     assert decontaminate.search(docs.limit(0), items, ["doc_id"]).count() == 0
     left = decontaminate.drop_contaminated(docs.withColumn("text", F.concat("text", F.lit(" alpha beta gamma"))), items)
@@ -195,8 +214,8 @@ def test_suffix_array_of_small_alphabets():
             assert sorted(order) == list(range(n)) and all(key(a) <= key(b) for a, b in zip(order, order[1:]))
 
 
-@pytest.mark.parametrize("split", [8192, 1])
-def test_repeats_are_removed(spark, split):
+@pytest.mark.parametrize("split,segment", [(8192, suffix_dedup.SEGMENT), (1, suffix_dedup.SEGMENT), (8192, 97)])
+def test_repeats_are_removed(spark, split, segment):
     r = random.Random(21)
     passage = prose(60, 77)
     texts = [prose(r.randrange(5, 80), k) for k in range(25)]
@@ -204,11 +223,30 @@ def test_repeats_are_removed(spark, split):
         cut = r.randrange(0, 200)
         texts[k] = texts[k] + " " + passage[cut : cut + 260] + " " + texts[k][:30]
     texts += [None, "", "é" * 60, "ab" * 300, texts[1], texts[2] + "!", prose(300, 5), prose(300, 5)[7:]]
-    got = suffix_dedup.remove_repeats(table(spark, texts), ["doc_id"], length=40, gram=12, split=split).orderBy("doc_id").collect()
+    got = suffix_dedup.remove_repeats(table(spark, texts), ["doc_id"], length=40, gram=12, split=split, segment=segment).orderBy("doc_id").collect()
     want = remove_repeats(texts, 40)
     assert [(x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in got] == want
 
 
+def test_adjacent_common_prefixes():
+    import numpy as np
+
+    a = np.frombuffer(b"abcdabcxabcd", np.uint8).reshape(3, 4)
+    b = np.frombuffer(b"abcdabcdxbcd", np.uint8).reshape(3, 4)
+    assert suffix_dedup.common_prefixes(a, b).tolist() == [4, 3, 0]
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(33)
+    body = "".join(r.choices("abcdefghij ", k=1_500_000))
+    texts = [body + body[1000:1900], body[700_000:700_400], "z" * 10]
+    got = suffix_dedup.remove_repeats(table(spark, texts), ["doc_id"], segment=1 << 18).orderBy("doc_id").collect()
+    assert [(x["n_bytes"], x["n_removed"], x["n_spans"]) for x in got] == [(1_500_900, 900 + 900 + 400, 3), (400, 400, 1), (10, 0, 0)]
+    clash = table(spark, texts).withColumn("N_Bytes", F.lit(1)).withColumn("t1", F.lit(5).cast("long"))
+    got = suffix_dedup.remove_repeats(clash, ["N_Bytes", "t1", "doc_id"])
+    assert got.columns == ["t1", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"] and {(x["t1"], x["n_removed"]) for x in got.collect()} == {(5, 2200), (5, 400), (5, 0)}
+
+
 def test_repeats_of_production_length(spark):
     texts = [prose(400, k) for k in range(6)]
     texts[2] = texts[2][:500] + texts[0][100:460] + texts[2][500:]
