@@ -7,9 +7,9 @@ are further than the k-th neighbour so far: bound * factor > radius. With factor
 larger factor skips more. Distances are sums of squared differences in double precision, added in the
 order of the components, so equal vectors have equal scores.
 
-Queries are sent to all shards in blocks of `QUERY_BLOCK`, whose size is fixed; each shard answers with
-its k best for each query, and those are merged. Equal vectors of a shard are one point that carries its
-k + 1 smallest ids: no more can be among k neighbours, so that loses nothing.
+Queries are packed into blocks of `QUERY_BLOCK` on the executors; a block, whose size is fixed, is sent to all
+shards and answered before the next. Each shard answers with its k best for each query, and those are merged. Equal
+vectors of a shard are one point that carries its k + 1 smallest ids: no more can be among k neighbours, so that loses nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from sketchloom.llm.shared import BINARY, DOUBLE, INT, LONG, schema, stored
 SHARD_VECTORS = 20_000
 QUERY_BLOCK = 20_000
 LEAF = 512
+#: Queries that walk a tree together.
+QUERY_PART = 4000
 
 
 def distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -157,20 +159,20 @@ class Tree:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of vectors that take part: not null, not zero, all components finite, of the most frequent length.
-
-    Rows that share a vec_id count as one, with the smallest of their vectors.
-    """
+    """(vec_id, embedding) of vectors that take part: not null, not zero, all components finite. Equal rows count once."""
     e = F.col("embedding")
     big = F.lit(float("inf"))
     fine = vectors.where("vec_id is not null and embedding is not null").where(
         F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists(e, lambda x: x != 0)
     )
-    return fine.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return fine.select("vec_id", "embedding").distinct()
 
 
 def build_index(vectors: DataFrame, k: int, shard_vectors: int = SHARD_VECTORS, leaf: int = LEAF) -> tuple[DataFrame, int]:
-    """Stored trees, one row for each shard, and the vectors' length (0 if there are none)."""
+    """Stored trees, one row for each shard, and the vectors' length (0 if there are none). vectors: a stored table of `usable` ones.
+
+    Of vectors of several lengths, those of the most frequent one are searched, the shortest of these if there are several.
+    """
     sizes = vectors.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").take(1)
     dims, n = (sizes[0]["dims"], sizes[0]["n"]) if sizes else (0, 0)
     shards = max(1, -(-n // shard_vectors))
@@ -181,40 +183,62 @@ def build_index(vectors: DataFrame, k: int, shard_vectors: int = SHARD_VECTORS,
         tree = Tree.build(flat.reshape(-1, dims), table["vec_id"].to_numpy(), k + 1, leaf)
         return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([b], pa.binary()) for b in tree.pack())], names=out.names)
 
-    dealt = vectors.where(F.size("embedding") == dims).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    # Rows of one id are dealt apart, as an id may have many vectors.
+    dealt = vectors.where(F.size("embedding") == dims).withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"))
     return stored(dealt.groupBy("shard").applyInArrow(grow, out), "vp-trees"), dims
 
 
+def _blocks(asked: DataFrame, dims: int, query_block: int) -> tuple[DataFrame, int]:
+    """Queries packed into stored rows (block, own, points) of about query_block each, and how many there are."""
+    n = max(1, -(-asked.count() // query_block))
+    out = schema(block=INT, own=BINARY, points=BINARY)
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        flat = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([table["vec_id"].to_numpy().tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())], names=out.names)
+
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n)).cast("int"))
+    return stored(dealt.groupBy("block").applyInArrow(pack, out), "vp-queries"), n
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0, query_block: int = QUERY_BLOCK, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest vectors but its own, all if there are fewer.
 
-    vectors and queries hold vec_id and embedding; see `usable` for those that take part.
+    vectors and queries hold vec_id and embedding, other columns are left out; see `usable` for those that take part.
+    Rows that share a vec_id but differ in their vector are candidates each, so an id may be found more than once, and
+    none of them is a candidate of a query of that id; as a query such an id has the smallest of its vectors. Ties go to
+    the smaller vec_id. No vectors or no queries give no rows.
     """
-    spark = vectors.sparkSession
-    trees, dims = build_index(usable(vectors), k, shard_vectors)
-    asked = usable(queries).where(F.size("embedding") == dims)
-    blocks = max(1, -(-asked.count() // query_block))
+    fine = stored(usable(vectors), "vp-vectors")
+    trees, dims = build_index(fine, k, shard_vectors)
+    asked = stored(usable(queries).where(F.size("embedding") == dims).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vp-asked")
+    blocks, n = _blocks(asked, dims, query_block)
     out = schema(query_id=LONG, vec_id=LONG, score=DOUBLE)
-    found = None
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)) == block).toArrow()
-        own = rows["vec_id"].to_numpy()
-        points = rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), dims)
-        sent = spark.sparkContext.broadcast((own, points))
-
-        def answer(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, points = sent.value
-            for batch in batches:
-                for row in batch.to_pylist():
-                    row.pop("shard")
-                    best, ids = Tree.unpack(**row, dims=dims).search(points, own, k, factor)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = np.frombuffer(row.pop("own"), np.int64)
+                points = np.frombuffer(row.pop("asked")).reshape(len(own), dims)
+                for lo in range(0, len(own), QUERY_PART):
+                    part = own[lo : lo + QUERY_PART]
+                    best, ids = Tree.unpack(**row, dims=dims).search(points[lo : lo + QUERY_PART], part, k, factor)
                     there = ids >= 0
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, there.sum(1))), pa.array(ids[there]), pa.array(best[there])], names=out.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, there.sum(1))), pa.array(ids[there]), pa.array(best[there])], names=out.names)
+
+    def of_block(block: int) -> DataFrame:
+        # One row of at most about query_block vectors goes to all shards; it is never in the driver's own hands.
+        one = blocks.where(F.col("block") == block).select(F.col("block").alias("b"), "own", F.col("points").alias("asked"))
+        met = trees.withColumn("b", F.lit(block)).join(F.broadcast(one), "b").drop("b", "shard")
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return met.mapInArrow(answer, out).withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-        part = trees.mapInArrow(answer, out)
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = of_block(0)
+    if n > 1:  # each block's answers are stored before the next block is sent
+        found = stored(found, "vp-found")
+        for block in range(1, n):
+            found = found.unionByName(stored(of_block(block), "vp-found"))
+    return found
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,15 +248,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 with v as (
-  select vec_id, min(embedding) as e from embeddings
+  select distinct vec_id, embedding as e from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
-  group by vec_id
 ), w as (select * from v where len(e) = (select len(e) from v group by 1 order by count(*) desc, 1 limit 1)),
+a as (select vec_id, min(e) as e from w where vec_id % 100 = 0 group by vec_id),
 s as (
   select q.vec_id as query_id, c.vec_id as vec_id,
     sqrt(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i]::double - c.e[i]::double) * (q.e[i]::double - c.e[i]::double)))) as score
-  from w q join w c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
+  from a q join w c on q.vec_id <> c.vec_id
 )
 select query_id, rank, vec_id, score from (
   select *, (row_number() over (partition by query_id order by score, vec_id))::int as rank from s

@@ -250,6 +250,13 @@ def test_neighbours_are_exact(spark):
     assert vp_search.search(df.limit(0), df.limit(0), 10).count() == 0
 
 
+def test_ids_with_several_vectors(spark):
+    rows = [(100, [1.0, 0.0], "x"), (100, [3.0, 0.0], "x"), (1, [1.0, 1.0], "x"), (1, [5.0, 0.0], "x"), (1, [5.0, 0.0], "y"), (2, [1.0, 3.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
+    got = vp_search.search(df, df.where("vec_id = 100"), 10).orderBy("rank").collect()
+    assert [tuple(x) for x in got] == [(100, 1, 1, 1.0), (100, 2, 2, 3.0), (100, 3, 1, 4.0)]
+
+
 def test_recall_of_a_relaxed_search():
     rng = np.random.default_rng(29)
     points = rng.normal(size=(3000, 16))
