@@ -269,6 +269,23 @@ def test_recall_of_a_relaxed_search():
 # Katz
 
 
+def plain_discount(counts):
+    """d(c) by Good-Turing with Katz's cutoff at 5, from a Counter."""
+    n = [sum(c == r for c in counts.values()) for r in range(7)]
+
+    def of(c):
+        if c > 5:
+            return 0.999
+        try:
+            top = 6 * n[6] / n[1]
+            d = ((c + 1) * n[c + 1] / (c * n[c]) - top) / (1 - top)
+        except ZeroDivisionError:
+            d = 0
+        return d if 0 < d < 1 else (c - 0.5) / c
+
+    return of
+
+
 def plain_katz(rows, held):
     text = [[*words(t), None] for _, t in rows]
     one, two = collections.Counter(), collections.Counter()
@@ -277,13 +294,12 @@ def plain_katz(rows, held):
             one.update(t)
             two.update(zip(["<s>", *t[:-1]], t))
     n = sum(one.values())
-    d1, d2 = (katz.Discounts(np.array([sum(c == r for c in x.values()) for r in range(1, 7)])) for x in (one, two))
-    d = lambda k, c: k.small[c - 1] if c <= 5 else k.large
-    p1 = {w: d(d1, c) * c / n for w, c in one.items()}
+    d1, d2 = plain_discount(one), plain_discount(two)
+    p1 = {w: d1(c) * c / n for w, c in one.items()}
     total, left, low = collections.Counter(), collections.Counter(), collections.Counter()
     for (h, w), c in two.items():
         total[h] += c
-        left[h] += (1 - d(d2, c)) * c
+        left[h] += (1 - d2(c)) * c
         low[h] += p1[w]
     alpha = {h: left[h] / total[h] / (1 - low[h]) for h in total}
     unknown = 1 - sum(p1.values()) if n else 1.0
@@ -292,10 +308,10 @@ def plain_katz(rows, held):
         s = b = 0.0
         for h, w in zip(["<s>", *t[:-1]], t):
             c = two[h, w]
-            s += math.log10(d(d2, c) * c / total[h] if c else alpha.get(h, 1.0) * p1.get(w, unknown))
+            s += math.log10(d2(c) * c / total[h] if c else alpha.get(h, 1.0) * p1.get(w, unknown))
             b += math.log10((one[w] + 0.1) / (n + 0.1 * (len(one) + 1)))
         out.append((len(t), sum(one[w] > 0 for w in t), n, b, s))
-    return out, alpha, p1, unknown, two, total, d2, d
+    return out, alpha, p1, unknown, two, total
 
 
 @pytest.mark.parametrize("small", [False, True])
@@ -312,13 +328,37 @@ def test_scores_against_brute_force(spark, small):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-4)
 
 
-def test_backoff_sums_to_one():
+@pytest.mark.parametrize("small", [False, True])
+def test_backoff_weights_of_the_tables_sum_to_one(spark, small):
+    from sketchloom.llm import kernels as K
+
     r = random.Random(37)
-    rows = [(k, " ".join(f"w{r.randrange(12)}" for _ in range(20))) for k in range(6)]
-    _, alpha, p1, unknown, two, total, d2, d = plain_katz(rows, [False] * 6)
+    rows = [(k, " ".join(f"w{int(r.paretovariate(0.9))}" for _ in range(30))) for k in range(60)]
+    df = spark.createDataFrame([(*row, False) for row in rows], "doc_id long, text string, out boolean").repartition(3)
+    t = katz.train(df, "out", **(dict(partition_bytes=1000, chunk_bytes=700, hot_share=0.05) if small else {}))
+    _, alpha, p1, unknown, two, total = plain_katz(rows, [False] * len(rows))
+    code = lambda w: int(katz.START) if w == "<s>" else int(katz.END) if w is None else K.string_hash(w)
+    weight = {x["context"] % (1 << 64): 10 ** x["weight"] for x in t.weights.collect()}
+    assert set(weight) == {code(h) for h in total} and t.weights.count() == len(weight)
     for h in total:
-        seen = sum(d(d2, two[h, w]) * two[h, w] / total[h] for w in p1 if two[h, w])
-        assert seen + alpha[h] * (unknown + sum(p for w, p in p1.items() if not two[h, w])) == pytest.approx(1)
+        assert weight[code(h)] == pytest.approx(alpha[h])
+        seen = sum(float(t.model.pairs.kept(np.array([two[h, w]]))[0]) / total[h] for w in p1 if two[h, w])
+        assert seen + weight[code(h)] * (unknown + sum(p for w, p in p1.items() if not two[h, w])) == pytest.approx(1)
+    # The stored counts are the corpus's, each pair once.
+    found = collections.Counter()
+    for x in t.counted.where(F.col("kind") == katz.COUNTS).collect():
+        a = katz._unpack(x["data"])
+        word = np.repeat(np.cumsum(a["word"]), a["pairs"].astype(int))
+        for h, w, c in zip(a["context"].tolist(), word.tolist(), a["pair"].tolist()):
+            found[h, w] += c
+    assert found == {(code(h), code(w)): c for (h, w), c in two.items()}
+
+
+def test_other_columns_and_null_flags(spark):
+    df = spark.createDataFrame([(1, "a b a", False, 5.0), (2, "a b", None, 5.0), (2, "a b", None, 5.0)], "doc_id long, text string, out boolean, score double")
+    got = katz.score(df, "out").orderBy("doc_id").collect()
+    assert got[0].__fields__ == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert [(x["held_out"], x["n_tokens"], x["train_tokens"]) for x in got] == [(False, 4, 4), (True, 3, 4), (True, 3, 4)] and got[1] == got[2]
 
 
 def test_scores_without_training(spark):
