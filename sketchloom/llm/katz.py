@@ -47,6 +47,8 @@ LARGE = 0.999
 CHUNK_BYTES = 8 << 20
 #: Bytes of text for each partition: a worker holds a partition's pairs as arrays.
 PARTITION_BYTES = 16_000_000
+#: Of a row group of tables whose rows have megabytes.
+GROUP_BYTES = 8 << 20
 #: Words of this share of the tokens are dealt by context, or of half a partition's share where that is less.
 HOT_SHARE = 0.004
 #: The least share of such words, which bounds their number by twice its inverse.
@@ -78,6 +80,11 @@ def _gaps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=np.uint64(0))
 
 
+def _by_count(n: np.ndarray) -> np.ndarray:
+    """Places of a vocabulary, the most frequent word's first: frequent words have short ranks, which compress."""
+    return np.argsort(-n.astype(np.int64), kind="stable")
+
+
 def _edges(n: int) -> np.ndarray:
     """Where the n parts of the hash range end, without the last."""
     return np.array([(k << 64) // n for k in range(1, n)], np.uint64)
@@ -166,11 +173,11 @@ class Chunk:
     """
 
     def __init__(self, row: dict, place: Placing):
-        a = _unpack(row["data"])
+        a, words = _unpack(row["data"]), _unpack(row["words"])
         self.n = a["n"].astype(np.int64)
         self.held = np.unpackbits(a["held"], count=len(self.n)).astype(bool)
-        self.vocabulary = np.cumsum(a["vocabulary"])
-        self.code = a["code"].astype(np.int64)
+        self.vocabulary = np.cumsum(words["vocabulary"])
+        self.code = _by_count(words["n"])[a["rank"]]
         size = len(self.vocabulary)
         first = np.cumsum(self.n) - self.n
         self.context = np.empty(len(self.code), np.int64)
@@ -219,8 +226,10 @@ def code_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         code = code.reshape(-1)
         counts = np.bincount(code, weights=np.repeat(~held, n), minlength=len(vocabulary)).astype(np.int64)
         ids = pa.concat_arrays([d for _, _, d, _ in parts])
+        rank = np.empty(len(vocabulary), np.int64)
+        rank[_by_count(counts)] = np.arange(len(vocabulary))
         words = _pack(vocabulary=_gaps(vocabulary), n=_narrow(counts))
-        data = _pack(vocabulary=_gaps(vocabulary), code=_narrow(code), n=_narrow(n), held=np.packbits(held))
+        data = _pack(rank=_narrow(rank[code]), n=_narrow(n), held=np.packbits(held))
         columns = [pa.array([uid], pa.int64()), pa.array([counts.sum()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([words], pa.binary()), pa.array([data], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=out.names)
 
@@ -239,7 +248,7 @@ def code_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if parts:
             yield chunk(parts, task << 32 | done)
 
-    return stored(docs.select("doc_id", "held", "text").mapInArrow(run, out), "katz-chunks")
+    return stored(docs.select("doc_id", "held", "text").mapInArrow(run, out), "katz-chunks", group_bytes=GROUP_BYTES)
 
 
 def hot_words(chunks: DataFrame, share: float) -> dict[int, int]:
@@ -342,8 +351,8 @@ def count_pairs(chunks: DataFrame, place: Placing) -> DataFrame:
                 own = table.filter(pa.array(part == p))
                 yield from one(p, own["uid"].to_numpy(), [d.as_buffer() for d in own["data"]])
 
-    dealt = chunks.select("uid", "data").mapInArrow(send, message).repartitionById(place.parts, F.col("part"))
-    return stored(dealt.mapInArrow(count, _COUNTED), "katz-counts")
+    dealt = chunks.select("uid", "words", "data").mapInArrow(send, message).repartitionById(place.parts, F.col("part"))
+    return stored(dealt.mapInArrow(count, _COUNTED), "katz-counts", group_bytes=GROUP_BYTES)
 
 
 def weigh(counted: DataFrame, model: Model, place: Placing) -> DataFrame:
@@ -464,8 +473,8 @@ def score(docs: DataFrame, held: str, partition_bytes: int = PARTITION_BYTES, ch
         for uid in list(chunks):
             yield from evaluate(chunks.pop(uid), answers.pop(uid))
 
-    own = t.chunks.select("uid", F.lit(-1).alias("part"), "data", "ids")
-    replies = t.counted.where(F.col("kind") == ANSWER).select("uid", "part", "data", F.lit(None).cast("array<long>").alias("ids"))
+    own = t.chunks.select("uid", F.lit(-1).alias("part"), "data", "words", "ids")
+    replies = t.counted.where(F.col("kind") == ANSWER).select("uid", "part", "data", F.lit(None).cast("binary").alias("words"), F.lit(None).cast("array<long>").alias("ids"))
     met = own.unionByName(replies).repartition(max(1, t.chunks.count()), "uid")
     scored = stored(met.mapInArrow(finish, out), "katz-scored")
     drop_stored(t.chunks, t.counted)

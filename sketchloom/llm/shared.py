@@ -42,11 +42,16 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors. Spark drops the shuffle files behind it."""
+def stored(df: DataFrame, name: str, *partition_by: str, group_bytes: int | None = None) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage, survives lost executors. Spark drops the shuffle files behind it.
+
+    group_bytes: of a row group, which writers and readers hold at once; less than Spark's 128 MB for rows of megabytes.
+    """
     spark = df.sparkSession
     path = table_path(spark, name)
     writer = df.write.option("compression", "zstd")
+    if group_bytes:
+        writer = writer.option("parquet.block.size", group_bytes)
     with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
