@@ -47,6 +47,8 @@ LARGE = 0.999
 CHUNK_BYTES = 8 << 20
 #: Bytes of text for each partition: a worker holds a partition's pairs as arrays.
 PARTITION_BYTES = 16_000_000
+#: Pairs in a row of stored counts.
+COUNT_ROWS = 50_000
 #: Of a row group of tables whose rows have megabytes.
 GROUP_BYTES = 8 << 20
 #: Words of this share of the tokens are dealt by context, or of half a partition's share where that is less.
@@ -177,22 +179,22 @@ class Chunk:
         self.n = a["n"].astype(np.int64)
         self.held = np.unpackbits(a["held"], count=len(self.n)).astype(bool)
         self.vocabulary = np.cumsum(words["vocabulary"])
-        self.code = _by_count(words["n"])[a["rank"]]
+        self.code = _by_count(words["n"]).astype(np.int32)[a["rank"]]
         size = len(self.vocabulary)
         first = np.cumsum(self.n) - self.n
-        self.context = np.empty(len(self.code), np.int64)
+        self.context = np.empty(len(self.code), np.int32)
         self.context[1:] = self.code[:-1]
         self.context[first] = size
         hashes = np.append(self.vocabulary, START)
-        pair, inverse = np.unique(self.code * (size + 1) + self.context, return_inverse=True)
-        word, context = pair // (size + 1), pair % (size + 1)
+        pair, inverse = np.unique(self.code * np.int64(size + 1) + self.context, return_inverse=True)
+        word, context = (pair // (size + 1)).astype(np.int32), (pair % (size + 1)).astype(np.int32)
         self.often, _ = _within(place.hot, self.vocabulary)
         by_context = self.often[word]
         part = place.of(np.where(by_context, hashes[context], hashes[word]))
         # Words ascend with their partitions already, so only pairs of hot words have to move.
         order = np.argsort(part * 2 + by_context, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.entry = rank[inverse.reshape(-1)]
         self.word, self.other, self.by_context, self.part = word[order], context[order], by_context[order], part[order]
         self.hashes = hashes
@@ -339,8 +341,12 @@ def count_pairs(chunks: DataFrame, place: Placing) -> DataFrame:
             words = word_of_pair[at[:plain]]
             yield rows(ANSWER, part, [uid], [_pack(pair=_narrow(pair_count[at]), word=_narrow(word_count[words[K.grouped_starts(words)]]))])
         seen = pair_count > 0
-        kept = np.add.reduceat(seen, first)
-        yield rows(COUNTS, part, [0], [_pack(word=_gaps(word[kept > 0]), count=_narrow(word_count[kept > 0]), pairs=_narrow(kept[kept > 0]), context=pair_context[seen], pair=_narrow(pair_count[seen]))])
+        of, context, n = word_of_pair[seen], pair_context[seen], pair_count[seen]
+        for lo in range(0, len(of), COUNT_ROWS):
+            some = slice(lo, lo + COUNT_ROWS)
+            at = K.grouped_starts(of[some])
+            here = of[some][at]
+            yield rows(COUNTS, part, [0], [_pack(word=_gaps(word[here]), count=_narrow(word_count[here]), pairs=_narrow(np.diff(np.append(at, len(of[some])))), context=context[some], pair=_narrow(n[some]))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
