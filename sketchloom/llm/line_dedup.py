@@ -50,9 +50,15 @@ class LineRuns:
         """Count a batch, with a column `hashes`, and add what isn't closed as a run."""
         lines = hashed.select(F.explode(F.array_distinct("hashes")).alias("h")).where("h is not null").select("h.a", "h.b")
         new = lines.groupBy("a", "b").agg(F.count("*").alias("n"))
-        for closed in self.closed:
-            new = new.join(self._read(closed).hint("merge"), ["a", "b"], "left_anti")
-        self.levels[0].append(self._write(new, "run"))
+        batch = self._write(new, "batch")
+        if self.closed:
+            new = self._read(batch)
+            for closed in self.closed:  # buckets of the same number meet
+                new = new.join(self._read(closed).hint("merge"), ["a", "b"], "left_anti")
+            self.levels[0].append(self._write(new, "run"))
+            self._forget(batch)
+        else:
+            self.levels[0].append(batch)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self._compact(level)
