@@ -1,14 +1,23 @@
-"""Sequences and their k-mers, as columns and as numpy windows over Arrow batches."""
+"""Sequences and their k-mers, as columns and as numpy windows over Arrow batches.
+
+Windows are cut from a sequence's bytes in slices, so time is linear and memory is bounded whatever a sequence's
+length; `substring` at each position would walk the sequence from its start every time.
+"""
 
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: K-mers that are held at once.
+SLICE = 50_000
+BASES = "ACGT"
+
 # The complement of a byte is chosen by two of its bits; A, C, G, T and N in either case give T, G, C, A and C.
 COMPLEMENTS = "TGAC"
 
@@ -33,12 +42,6 @@ def reverse_complement(seq: Column) -> Column:
     return F.translate(F.reverse(seq), every, "".join(complement(ord(c)) for c in every))
 
 
-def kmers(seq: Column, k: int, drop_last: int = 0) -> Column:
-    """Array of all k-mers in order; empty for shorter sequences."""
-    n = F.length(seq) - (k - 1 + drop_last)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-
 def canonical(kmer: Column) -> Column:
     """The lesser of a k-mer and its reverse complement, by bytes."""
     return F.least(kmer, reverse_complement(kmer))
@@ -90,3 +93,99 @@ def pack(seq: np.ndarray, k: int, codes: np.ndarray) -> np.ndarray:
     for j in range(k):
         total = (total << np.uint64(2)) | coded[j : j + len(total)]
     return total
+
+
+def characters(data: bytes) -> np.ndarray:
+    """Where each character of UTF-8 text begins, and the text's end."""
+    raw = np.frombuffer(data, np.uint8)
+    return np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+
+
+def texts(rows: np.ndarray) -> pa.Array:
+    """Rows of ASCII bytes as strings."""
+    n, k = rows.shape
+    return pa.StringArray.from_buffers(n, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * k).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes()))
+
+
+def each_kmer(df: DataFrame, k: int, drop_last: int = 0, id_type: str = "long") -> DataFrame:
+    """(id, pos, kmer) of (id, seq): all k-mers as they stand, pos from 1. Sequences shorter than k and nulls have none.
+
+    A k-mer is k characters, so sequences need not be ASCII.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, seq in enumerate(batch.column("seq").to_pylist()):
+                data = (seq or "").encode()
+                at = characters(data)
+                n = len(at) - k - drop_last
+                for lo in range(0, max(n, 0), SLICE):
+                    m = min(SLICE, n - lo)
+                    if len(at) == len(data) + 1:
+                        found = texts(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8)[lo : lo + m + k - 1], k))
+                    else:
+                        found = pa.array([data[a:b].decode() for a, b in zip(at[lo : lo + m], at[lo + k : lo + k + m])], pa.string())
+                    ids = batch.column("id").take(pa.array(np.full(m, row)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(lo + 1, lo + m + 1, dtype=np.int32)), found], names=["id", "pos", "kmer"])
+
+    return df.select("id", "seq").mapInArrow(run, f"id {id_type}, pos int, kmer string")
+
+
+def count_kmers(df: DataFrame, k: int, by_id: bool, strands: bool = True, id_type: str = "long") -> DataFrame:
+    """(kmer, n), or (id, kmer, n), of (id, seq): how often each k-mer stands; strands: under its canonical form.
+
+    a-z are upper-cased. K-mers of A, C, G and T only, of up to 31 bases, are counted as numbers and written out after
+    their counts are summed; others as strings. A slice's equal k-mers are summed before any shuffle.
+    """
+    code = np.full(256, 255, np.uint8)
+    code[[ord(c) for c in BASES]] = range(4)
+    fields = (f"id {id_type}, " if by_id else "") + "packed long, other string, n long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, number in slices(batch):
+                coded = code[rows]
+                plain = (coded < 4).all(1) if k <= 31 else np.zeros(len(rows), bool)
+                packed = np.zeros(int(plain.sum()), np.int64)
+                for j in range(k if len(packed) else 0):
+                    packed = packed << 2 | coded[plain, j]
+                owner = number if by_id else np.zeros(len(number), np.int64)
+                # Of plain ones (owner, packed), of others (owner, bytes); both counted by one sort each.
+                pairs = np.stack((owner[plain], packed), 1)
+                order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+                pairs = pairs[order]
+                new = np.ones(len(pairs), bool)
+                new[1:] = (pairs[1:] != pairs[:-1]).any(1)
+                first = np.flatnonzero(new)
+                yield out(batch, pairs[first, 0], pa.array(pairs[first, 1]), pa.nulls(len(first), pa.string()), np.diff(np.append(first, len(pairs))))
+                odd = np.flatnonzero(~plain)
+                if len(odd):
+                    keyed = np.concatenate((owner[odd].astype(">i8").view(np.uint8).reshape(-1, 8), rows[odd]), 1)
+                    found, n = np.unique(keyed, axis=0, return_counts=True)
+                    own = np.ascontiguousarray(found[:, :8]).view(">i8").reshape(-1).astype(np.int64)
+                    yield out(batch, own, pa.nulls(len(found), pa.int64()), texts(found[:, 8:]), n)
+
+    def out(batch: pa.RecordBatch, owner: np.ndarray, packed: pa.Array, other: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        columns = ([batch.column("id").take(pa.array(owner))] if by_id else []) + [packed, other, pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["id"] * by_id + ["packed", "other", "n"])
+
+    def slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows of several short sequences or of a part of a long one, and the rows they are from."""
+        held, owner, size = [], [], 0
+        for row, seq in enumerate(sequences(batch.column("seq"))):
+            seq = upper_bytes(seq)
+            for lo in range(0, len(seq) - k + 1, SLICE):
+                part = seq[lo : lo + SLICE + k - 1]
+                held.append(canonical_windows(part, k) if strands else windows(part, k))
+                owner.append(np.full(len(held[-1]), row))
+                size += len(held[-1])
+                if size >= SLICE:
+                    yield np.concatenate(held), np.concatenate(owner)
+                    held, owner, size = [], [], 0
+        if held:
+            yield np.concatenate(held), np.concatenate(owner)
+
+    keys = (["id"] if by_id else []) + ["packed", "other"]
+    counted = df.select("id", "seq").mapInArrow(run, fields).groupBy(*keys).agg(F.sum("n").alias("n"))
+    written = F.translate(F.lpad(F.conv(F.col("packed").cast("string"), 10, 4), k, "0"), "0123", BASES)
+    return counted.select(*keys[:-2], F.coalesce("other", written).alias("kmer"), "n")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
@@ -26,6 +29,29 @@ def murmur64(texts: pd.Series) -> pd.Series:
     return murmur64_of(texts.reset_index(drop=True))
 
 
+@F.pandas_udf(LongType())
+def murmur32(texts: pd.Series) -> pd.Series:
+    """The 32-bit hash of each text, from 0 to 2^32 - 1; texts of one length go together."""
+    raw = texts.reset_index(drop=True).map(lambda t: None if t is None else t.encode())
+    out = pd.Series([None] * len(raw), dtype="Int64")
+    for _, group in raw.dropna().groupby(raw.dropna().map(len)):
+        out.iloc[group.index] = hashing.murmur32(np.frombuffer(b"".join(group), np.uint8).reshape(len(group), -1)).astype(np.int64)
+    return out
+
+
+def mixers(ids: DataFrame) -> DataFrame:
+    """(id, and a column for each integer hash of it): 32-bit ones of its low 32 bits."""
+    of = {"fmix32": hashing.fmix32, "mueller32": hashing.mueller32, "jenkins32": hashing.jenkins32, "splitmix64": hashing.splitmix64, "halve64": hashing.halve64, "fmix64": hashing.fmix64}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("id").to_numpy().view(np.uint64)
+            columns = [f((x & np.uint64(0xFFFFFFFF)).astype(np.uint32) if name in ("fmix32", "mueller32", "jenkins32") else x) for name, f in of.items()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c.astype(np.uint64).view(np.int64)) for c in columns]], names=["id", *of])
+
+    return ids.mapInArrow(run, "id long, " + ", ".join(f"{name} long" for name in of))
+
+
 @F.pandas_udf(StringType())
 def reverse_complement(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else kmers.reverse_complement_bytes(np.frombuffer(t.encode(), np.uint8)).tobytes().decode())
@@ -40,5 +66,5 @@ def jump_hash(keys: pd.Series, buckets: pd.Series) -> pd.Series:
 
 
 def register(spark: SparkSession) -> None:
-    for name, function in {"murmur64": murmur64, "reverse_complement": reverse_complement, "jump_hash": jump_hash}.items():
+    for name, function in {"murmur64": murmur64, "murmur32": murmur32, "reverse_complement": reverse_complement, "jump_hash": jump_hash}.items():
         spark.udf.register(name, function)

@@ -8,7 +8,6 @@ rest is a sum and a ranked window, for which Spark limits groups before the shuf
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.functions import hashing, kmers
 from sketchloom.params import MinHashParams
+from sketchloom.storage import same_params, with_params
 
 _TURN = -(1 << 63)
 
@@ -60,14 +60,15 @@ def least(counted: DataFrame, p: MinHashParams) -> DataFrame:
 
 
 def sketch(df: DataFrame, p: MinHashParams = MinHashParams(), id_type: str = "long") -> DataFrame:
-    """Sketches of (id, seq); rows that share an id are one collection. Ids without k-mers have no rows."""
-    return least(hashed(df, p, id_type), p)
+    """Sketches of (id, seq), with their parameters; rows that share an id are one collection. Ids without k-mers have no rows."""
+    return with_params(least(hashed(df, p, id_type), p), p)
 
 
 def merge(a: DataFrame, b: DataFrame, p: MinHashParams, q: MinHashParams | None = None) -> DataFrame:
     """The sketch of both collections, of p's size."""
     p.check(q or p)
-    return least(a.unionByName(b).withColumnRenamed("multiplicity", "n"), p)
+    same_params(a, b, given=p)
+    return with_params(least(a.unionByName(b).withColumnRenamed("multiplicity", "n"), p), p)
 
 
 def arrays(sketches: DataFrame) -> DataFrame:
@@ -106,18 +107,18 @@ def distance(j: Column, k: int) -> Column:
 
 def p_value(shared: Column, size: Column, length_a: Column, length_b: Column, k: int, alphabet: int = 4) -> Column:
     """Probability of at least `shared` common hashes for random sequences of these lengths (binomial tail)."""
+
     @F.pandas_udf("double")
     def tail(x: pd.Series, s: pd.Series, r: pd.Series) -> pd.Series:
-
-        def one(x: int, s: int, r: float) -> float:
-            if not x:
-                return 1.0
-            if r <= 0 or r >= 1:
-                return float(r >= 1)
-            term = lambda i: exp(lgamma(s + 1) - lgamma(i + 1) - lgamma(s - i + 1) + i * log(r) + (s - i) * log(1 - r))
-            return min(1.0, sum(term(i) for i in range(int(x), int(s) + 1)))
-
-        return pd.Series([one(*v) for v in zip(x, s, r)])
+        x, s, r = (v.to_numpy(float) for v in (x, s, r))
+        i = np.arange(int(s.max(initial=0)) + 1)
+        # ln of the binomial coefficients of each s, by running sums over i.
+        steps = np.log(np.maximum(s[:, None] - i[1:] + 1, 1e-300)) - np.log(i[1:])
+        choose = np.concatenate((np.zeros((len(s), 1)), np.cumsum(steps, axis=1)), 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            terms = np.exp(choose + i * np.log(r)[:, None] + (s[:, None] - i) * np.log1p(-r)[:, None])
+        total = np.where((i >= x[:, None]) & (i <= s[:, None]), terms, 0).sum(1)
+        return pd.Series(np.where(x == 0, 1.0, np.where(r <= 0, 0.0, np.where(r >= 1, 1.0, np.minimum(1.0, total)))))
 
     space = float(alphabet) ** k
     a, b = length_a / (length_a + space), length_b / (length_b + space)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.functions import hashing, kmers
 from sketchloom.params import OrderParams
+from sketchloom.storage import with_params
 
 #: Hashes that are held at once.
 HELD = 1 << 21
@@ -74,7 +75,14 @@ def sketch(df: DataFrame, p: OrderParams = OrderParams(), id_type: str = "long")
                 columns += [pa.array(x, pa.list_(pa.string())) for x in (data, back)]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "k", "l", "m", "seed", "data", "rcdata"])
 
-    return df.select("id", "seq").mapInArrow(run, f"id {id_type}, k int, l int, m int, seed long, data array<string>, rcdata array<string>")
+    return with_params(df.select("id", "seq").mapInArrow(run, f"id {id_type}, k int, l int, m int, seed long, data array<string>, rcdata array<string>"), p)
+
+
+def equal(sketches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(i, j, equal): whether two sketches agree in k, l, m, seed and all blocks of both strands; null equals null."""
+    whole = F.struct("k", "l", "m", "seed", "data", "rcdata")
+    a, b = (sketches.select(F.col("id").alias(s), whole.alias(f"whole_{s}")) for s in "ij")
+    return pairs.select("i", "j").join(a, "i").join(b, "j").select("i", "j", F.col("whole_i").eqNullSafe(F.col("whole_j")).alias("equal"))
 
 
 def _share(a: Column, b: Column, m: Column, circular: int = 0) -> Column:

@@ -1,8 +1,8 @@
 """Weighted MinHash: minimizers, their spectrum, count-min estimates and consistent weighted samples.
 
 Minimizers are found by array operations over whole sequences; a row's distinct minimizers count once, and rows
-of one id add up. The random tables of consistent weighted sampling are not held: a bin's numbers come from a generator
-that is seeded by (seed, bin), so only bins that occur are ever drawn, alike on every executor.
+of one id add up. The random tables of consistent weighted sampling are not held: each of a bin's numbers is a hash of
+(seed, bin, slot), so only bins that occur are ever drawn, alike on every executor and in SQL.
 """
 
 from __future__ import annotations
@@ -11,14 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.functions import hashing, kmers
 from sketchloom.params import WeightedParams
+from sketchloom.storage import with_params
 
 #: Cells and rows of the count-min sketch: ceil(2 / 0.001) and ceil(log(1 - 0.99) / log(0.5)).
 CELLS, ROWS = 2000, 7
+#: 2^32 over the golden ratio: steps of a counter that is hashed.
+GOLDEN32 = 0x9E3779B9
 
 # Two bits for A, C, G, T and U; 4 for all else, which spills into the next base's bits.
 _CODE = np.full(256, 4, np.uint8)
@@ -27,23 +30,20 @@ for _k, _pair in enumerate(("Aa", "Cc", "Gg", "TtUu")):
 
 
 def _strands(seq: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Packed k-mers that end at each base from the k-th on, of both strands, as rolling registers of 2k bits."""
+    """Packed k-mers that end at each base from the k-th on, of both strands, as rolling registers of 2k bits.
+
+    A code of 4 has a third bit, which joins the next base's in either register: one that moves up loses it at the
+    register's end, one that moves down still holds it when its base has left.
+    """
     code = _CODE[seq].astype(np.uint64)
     n = len(seq) - k + 1
-    mask = np.uint64((1 << 2 * k) - 1)
     forward, backward = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    if (code < 4).all():
-        for j in range(k):
-            part = code[j : j + n]
-            forward |= part << np.uint64(2 * (k - 1 - j))
-            backward |= (np.uint64(3) - part) << np.uint64(2 * j)
-        return forward, backward
-    f = b = 0
-    for i, c in enumerate(code.tolist()):  # a code of 4 reaches into neighbouring bits, in order of arrival
-        f = (f << 2 | c) & int(mask)
-        b = b >> 2 | (3 ^ c) << 2 * (k - 1)
-        if i >= k - 1:
-            forward[i - k + 1], backward[i - k + 1] = f, b & ((1 << 64) - 1)
+    for j in range(k):
+        part = code[j : j + n]
+        forward |= part << np.uint64(2 * (k - 1 - j))
+        backward |= (part ^ np.uint64(3)) << np.uint64(2 * j)
+    forward &= np.uint64((1 << 2 * k) - 1)
+    backward[1:] |= code[: n - 1] >> np.uint64(2)
     return forward, backward
 
 
@@ -89,60 +89,83 @@ def spectrum(found: DataFrame) -> DataFrame:
     return found.groupBy("id", "bin").agg(F.count("*").cast("double").alias("freq"))
 
 
-def _cells(spectra: DataFrame) -> DataFrame:
-    """(id, bin, freq, row, cell): where count-min rows hold each bin."""
+def estimates(spectra: DataFrame) -> DataFrame:
+    """(id, bin, freq, estimate): count-min as bins arrive in ascending order, so a cell holds what came so far.
+
+    An id's spectrum is one task's work: it has at most as many rows as there are bins, k^4.
+    """
     types = dict(spectra.dtypes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins = batch.column("bin").to_numpy()
-            for row in range(ROWS):
-                cell = hashing.jump(bins.astype(np.uint64) * np.uint64(1 + row), CELLS)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(bins), row, np.int32)), pa.array(cell)], names=["id", "bin", "freq", "row", "cell"])
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bin")
+        bins, freq = table["bin"].to_numpy(), table["freq"].to_numpy()
+        least = np.full(len(bins), np.inf)
+        for row in range(ROWS):
+            cell = hashing.jump(bins.astype(np.uint64) * np.uint64(1 + row), CELLS)
+            order = np.argsort(cell, kind="stable")
+            total = np.cumsum(freq[order])
+            first = np.flatnonzero(np.concatenate(([True], np.diff(cell[order]) != 0)))
+            before = np.repeat(total[first] - freq[order][first], np.diff(np.append(first, len(order))))
+            sums = np.empty(len(bins))
+            sums[order] = total - before
+            least = np.minimum(least, sums)
+        return table.append_column("estimate", pa.array(least))
 
-    return spectra.select("id", "bin", "freq").mapInArrow(run, f"id {types['id']}, bin long, freq double, row int, cell long")
+    return spectra.select("id", "bin", "freq").groupBy("id").applyInArrow(run, f"id {types['id']}, bin long, freq double, estimate double")
 
 
-def estimates(spectra: DataFrame) -> DataFrame:
-    """(id, bin, freq, estimate): count-min as bins arrive in ascending order, so a cell holds what came so far."""
-    so_far = Window.partitionBy("id", "row", "cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    return _cells(spectra).withColumn("sum", F.sum("freq").over(so_far)).groupBy("id", "bin").agg(F.first("freq").alias("freq"), F.min("sum").alias("estimate"))
+def uniforms(bins: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Five numbers in (0, 1) for each bin and slot: 32-bit hashes of a counter that starts at the hash of bin and seed."""
+    counter = np.arange(size * 5, dtype=np.uint32).reshape(size, 5) * np.uint32(GOLDEN32)
+    return (hashing.fmix32(hashing.fmix32(bins, seed)[:, None, None] + counter) + 0.5) / 2.0**32
 
 
 def random_tables(bins: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r ~ Gamma(2, 1), c = ln Gamma(2, 1), b ~ U(0, 1) * r for each bin (rows) and slot, each bin from its own generator."""
-    r, c, b = (np.empty((len(bins), size)) for _ in range(3))
-    for k, one in enumerate(bins.tolist()):
-        rng = np.random.Generator(np.random.Philox(key=[seed, one]))
-        r[k] = rng.gamma(2.0, 1.0, size)
-        c[k] = np.log(rng.gamma(2.0, 1.0, size))
-        b[k] = rng.uniform(0.0, 1.0, size) * r[k]
-    return r, c, b
+    """r ~ Gamma(2, 1), c = ln Gamma(2, 1), b ~ U(0, 1) * r for each bin (rows) and slot. Gamma(2, 1) is minus the logarithm of two uniforms' product."""
+    u = uniforms(bins, size, seed)
+    logs = -np.log(u[..., :4])
+    r, c = logs[..., 0] + logs[..., 1], np.log(logs[..., 2] + logs[..., 3])
+    return r, c, u[..., 4] * r
 
 
 def sketch(estimated: DataFrame, p: WeightedParams = WeightedParams()) -> DataFrame:
-    """(id, slot, bin, weight): for each slot the bin with the least sample, ties to the lesser bin. Samples may be negative."""
+    """(id, slot, bin, weight): for each slot the bin with the least sample, ties to the lesser bin. Samples may be negative.
+
+    A task sends at most one row for each slot and id of a batch on.
+    """
     types = dict(estimated.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins, freq = batch.column("bin").to_numpy(), batch.column("estimate").to_numpy()
-            distinct, at = np.unique(bins, return_inverse=True)
-            r, c, b = random_tables(distinct, p.size, p.seed)
-            sample = c[at] / (np.exp(np.log(freq)[:, None] - c[at] * b[at]) * np.exp(r[at]))
-            for lo in range(0, len(bins), 2000):
-                n = len(bins[lo : lo + 2000])
-                columns = [batch.column("id").slice(lo, n).take(pa.array(np.repeat(np.arange(n), p.size))), pa.array(np.tile(np.arange(p.size, dtype=np.int32), n)), pa.array(np.repeat(bins[lo : lo + n], p.size)), pa.array(sample[lo : lo + n].reshape(-1))]
+            for lo in range(0, batch.num_rows, 4000):
+                part = batch.slice(lo, 4000)
+                bins, freq = part.column("bin").to_numpy(), part.column("estimate").to_numpy()
+                owner = part.column("id").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(owner, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], np.diff(owner[order]) != 0)))
+                sizes = np.diff(np.append(first, len(order)))
+                distinct, at = np.unique(bins[order], return_inverse=True)
+                r, c, b = random_tables(distinct, p.size, p.seed)
+                sample = c[at] / (np.exp(np.log(freq[order])[:, None] - c[at] * b[at]) * np.exp(r[at]))
+                least = np.minimum.reduceat(sample, first, axis=0)
+                mine = np.where(sample == np.repeat(least, sizes, axis=0), bins[order][:, None], np.iinfo(np.int64).max)
+                chosen = np.minimum.reduceat(mine, first, axis=0)
+                columns = [part.column("id").take(pa.array(np.repeat(order[first], p.size))), pa.array(np.tile(np.arange(p.size, dtype=np.int32), len(first))), pa.array(chosen.reshape(-1)), pa.array(least.reshape(-1))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "slot", "bin", "weight"])
 
     drawn = estimated.select("id", "bin", "estimate").mapInArrow(run, f"id {types['id']}, slot int, bin long, weight double")
-    return drawn.groupBy("id", "slot").agg(F.min(F.struct("weight", "bin")).alias("x")).select("id", "slot", F.col("x.bin").alias("bin"), F.col("x.weight").alias("weight"))
+    least = drawn.groupBy("id", "slot").agg(F.min(F.struct("weight", "bin")).alias("x")).select("id", "slot", F.col("x.bin").alias("bin"), F.col("x.weight").alias("weight"))
+    return with_params(least, p)
 
 
 def jaccard(sketches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(i, j, weighted_jaccard): slots with equal bins add the lesser to the greater weight, others the greater only; weights as absolute values."""
-    a = sketches.select(F.col("id").alias("i"), "slot", F.col("bin").alias("bin_i"), F.abs("weight").alias("wi"))
-    b = sketches.select(F.col("id").alias("j"), "slot", F.col("bin").alias("bin_j"), F.abs("weight").alias("wj"))
-    both = pairs.select("i", "j").join(a, "i").join(b, ["j", "slot"])
-    shared = F.sum(F.when(F.col("bin_i") == F.col("bin_j"), F.least("wi", "wj")).otherwise(0.0))
-    return both.groupBy("i", "j").agg(F.try_divide(shared, F.sum(F.greatest("wi", "wj"))).alias("weighted_jaccard"))
+    """(i, j, weighted_jaccard): slots with equal bins add the lesser to the greater weight, others the greater only; weights as absolute values.
+
+    A sketch is one array of its slots, so a pair is one row throughout.
+    """
+    held = sketches.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "bin", F.abs("weight").alias("w")))).alias("slots"))
+    both = pairs.select("i", "j").join(held.select(F.col("id").alias("i"), F.col("slots").alias("a")), "i").join(held.select(F.col("id").alias("j"), F.col("slots").alias("b")), "j")
+    added = lambda values: F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+    shared = F.zip_with("a", "b", lambda x, y: F.when(x["bin"] == y["bin"], F.least(x["w"], y["w"])).otherwise(0.0))
+    every = F.zip_with("a", "b", lambda x, y: F.greatest(x["w"], y["w"]))
+    return both.select("i", "j", F.try_divide(added(shared), added(every)).alias("weighted_jaccard"))

@@ -5,8 +5,23 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+class Params:
+    """alike: the fields in which two sketches must agree to be compared."""
+
+    alike: tuple[str, ...] = ()
+
+    def check(self, other: Params) -> None:
+        if type(self) is not type(other):
+            raise ValueError("sketches are of different kinds")
+        unlike = [f for f in self.alike if getattr(self, f) != getattr(other, f)]
+        if unlike:
+            raise ValueError(f"sketches differ in {', '.join(unlike)}")
+
+
 @dataclass(frozen=True)
-class MinHashParams:
+class MinHashParams(Params):
+    alike = ("k", "seed", "canonical")
+
     k: int = 21
     size: int = 1000
     seed: int = 42
@@ -17,15 +32,13 @@ class MinHashParams:
         if self.k < 1 or self.size < 1 or self.min_copies < 1:
             raise ValueError("k, size and min_copies must be at least 1")
 
-    def check(self, other: MinHashParams) -> None:
-        if (self.k, self.seed, self.canonical) != (other.k, other.seed, other.canonical):
-            raise ValueError("sketches differ in k, seed or strand rule")
-
 
 @dataclass(frozen=True)
-class HllParams:
+class HllParams(Params):
     """drop_last leaves out a sequence's last k-mer, as the original estimator does."""
 
+    alike = ("p", "k", "seed", "canonical", "drop_last")
+
     p: int = 12
     k: int = 32
     seed: int = 42
@@ -38,9 +51,11 @@ class HllParams:
 
 
 @dataclass(frozen=True)
-class WeightedParams:
+class WeightedParams(Params):
     """Concept drift is accepted for compatibility; it has no effect on a sketch."""
 
+    alike = ("k", "size", "window", "seed")
+
     k: int = 21
     size: int = 50
     window: int = 20
@@ -59,7 +74,9 @@ class WeightedParams:
 
 
 @dataclass(frozen=True)
-class OrderParams:
+class OrderParams(Params):
+    alike = ("k", "l", "seed")
+
     k: int = 21
     l: int = 2  # noqa: E741
     m: int = 500

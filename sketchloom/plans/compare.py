@@ -2,28 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.operators import hll, minhash, order, weighted
 from sketchloom.params import HllParams, MinHashParams, OrderParams, WeightedParams
+from sketchloom.storage import same_params
 
+#: Members of a hash that meet in one group.
+BLOCK = 1024
 
-def all_pairs(ids: DataFrame) -> DataFrame:
-    """(i, j), i < j: every pair. For small collections; `candidate_pairs` leaves out pairs that share nothing."""
-    a = ids.select(F.col("id").alias("i")).distinct()
-    return a.join(ids.select(F.col("id").alias("j")).distinct(), F.col("i") < F.col("j"))
 
+def _met(members: DataFrame, keys: list[str], blocks: Column) -> DataFrame:
+    """members (id and keys) with (i, j), i < j, that share the keys: an equi-join on blocks of them, so that many members are many groups.
 
-def candidate_pairs(sketches: DataFrame) -> DataFrame:
-    """(i, j, shared), i < j: pairs that share a hash, by an equi-join on it. All other pairs have Jaccard 0."""
-    a = sketches.select(F.col("id").alias("i"), "hash")
-    b = sketches.select(F.col("id").alias("j"), "hash")
-    return a.join(b, "hash").where("i < j").groupBy("i", "j").agg(F.count("*").alias("shared"))
+    Each two blocks meet once, the lower one's members from the left.
+    """
+    own = F.pmod(F.xxhash64(F.lit(9), "id"), blocks).cast("int")
+    placed = members.withColumn("own", own).withColumn("blocks", blocks.cast("int"))
+    more = [c for c in members.columns if c not in ("id", *keys)]
+    left = placed.select(F.col("id").alias("x"), *keys, *more, F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"))
+    right = placed.select(F.col("id").alias("y"), *keys, F.col("own").alias("hi"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("lo"))
+    both = left.join(right, [*keys, "lo", "hi"]).where("lo < hi or x < y")
+    return both.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), *more)
+
+
+def all_pairs(ids: DataFrame, blocks: int = 16) -> DataFrame:
+    """(i, j), i < j: every pair, which is as many rows as the square; `candidate_pairs` leaves out pairs that share nothing."""
+    return _met(ids.select("id").where("id is not null").distinct(), [], F.lit(blocks))
+
+
+def candidate_pairs(sketches: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(i, j, shared), i < j: pairs that share a hash, by an equi-join on it. All other pairs have Jaccard 0.
+
+    Hashes with the same members are one, with a weight, so copies of a sequence meet once and not for each hash. A hash
+    of over `block` members is cut into blocks that meet two by two.
+    """
+    hashes = sketches.select("id", "hash")
+    members = F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(5), "id")).alias("y")
+    counted = hashes.groupBy("hash").agg(F.count("*").alias("n"), *members).where("n > 1")
+    kinds = counted.groupBy("n", "x", "y").agg(F.min("hash").alias("hash"), F.count("*").alias("weight")).select("hash", "n", "weight")
+    met = _met(hashes.join(kinds, "hash"), ["hash"], F.ceil(F.col("n") / block))
+    return met.groupBy("i", "j").agg(F.sum("weight").alias("shared"))
 
 
 def minhash_measures(sketches: DataFrame, p: MinHashParams, pairs: DataFrame | None = None) -> DataFrame:
-    """(i, j, jaccard, containment, distance) of candidate pairs, or of `pairs`."""
+    """(i, j, jaccard, containment, distance) of candidate pairs, or of `pairs`. Sketches that bear other parameters than p are refused."""
+    same_params(sketches, given=p)
     pairs = candidate_pairs(sketches) if pairs is None else pairs
     held = minhash.arrays(sketches)
     both = pairs.select("i", "j").join(held.select(F.col("id").alias("i"), F.col("hashes").alias("a")), "i").join(held.select(F.col("id").alias("j"), F.col("hashes").alias("b")), "j")
@@ -49,12 +74,13 @@ def closest(measured: DataFrame, k: int, by: str = "distance") -> DataFrame:
 
 
 def phylip(ids: DataFrame, measured: DataFrame, value: str = "distance", missing: float = 1.0) -> DataFrame:
-    """(id, line): rows of a lower-triangular distance matrix; absent pairs have distance `missing`. The first line, the number of rows, has a null id."""
-    ids = ids.select("id").distinct()
-    known = measured.select(F.col("j").alias("row"), F.col("i").alias("column"), F.col(value).alias("d"))
-    cells = known.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("column", "d"))).alias("cells"))
-    order = ids.agg(F.array_sort(F.collect_list("id")).alias("all"))
-    body = ids.join(cells, ids["id"] == cells["row"], "left").crossJoin(F.broadcast(order))
-    value_at = lambda c: F.format_string("%.6f", F.coalesce(F.try_element_at(F.col("cells"), c), F.lit(missing)))
-    lines = body.select("id", F.concat_ws(" ", F.col("id").cast("string"), F.transform(F.filter("all", lambda x: x < F.col("id")), value_at)).alias("line"))
-    return order.select(F.lit(None).cast("long").alias("id"), F.size("all").cast("string").alias("line")).unionByName(lines)
+    """(id, line): rows of a lower-triangular distance matrix; absent pairs have distance `missing`. The first line, the number of rows, has a null id.
+
+    A line of the format holds all lesser ids, so a row has up to as many cells as there are ids.
+    """
+    ids = ids.select("id").where("id is not null").distinct()
+    cells = all_pairs(ids).join(measured.select("i", "j", F.col(value).alias("d")), ["i", "j"], "left")
+    told = F.array_sort(F.collect_list(F.struct("i", F.format_string("%.6f", F.coalesce("d", F.lit(missing))).alias("d"))))
+    rows = cells.groupBy("j").agg(told.alias("cells"))
+    lines = ids.join(rows, ids["id"] == rows["j"], "left").select("id", F.concat_ws(" ", F.col("id").cast("string"), F.col("cells.d")).alias("line"))
+    return ids.agg(F.count("*").cast("string").alias("line")).select(F.lit(None).cast("long").alias("id"), "line").unionByName(lines)

@@ -64,7 +64,10 @@ def _records(content: bytes, strict: bool) -> Iterator[tuple]:
 
 
 def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Records of all files under a path, of any file system that Spark reads. A file is one task's work."""
+    """Records of all files under a path, of any file system that Spark reads. A file is one task's work and held
+    whole, as quality lines cannot be told from headers without what stands before them; that takes files up to 2 GB.
+    `read_fasta_splits` has no such bound.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file", "ordinal", "name", "comment", "seq", "qual"]
@@ -90,16 +93,26 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def read_fasta_splits(spark: SparkSession, path: str) -> DataFrame:
-    """(name, comment, seq) of plain FASTA files, split among tasks at any record."""
-    rows = spark.read.option("lineSep", ">").text(path).where("value <> ''")
-    head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
-    return rows.select(
+    """(name, comment, seq) of FASTA files. Plain ones are split among tasks at any record, gzip ones are read as a stream.
+
+    A record begins with > at the start of a line, so > may stand within a line. Files begin with a record.
+    """
+    rows = spark.read.option("lineSep", "\n>").text(path)
+    # The separator takes the > of all records but a file's first.
+    record = F.regexp_replace("value", "^>", "")
+    head = F.regexp_extract("record", r"^([^\r\n]*)", 1)
+    return rows.select(record.alias("record")).where("record <> ''").select(
         F.regexp_extract(head, r"^(\S*)", 1).alias("name"),
         F.nullif(F.regexp_extract(head, r"^\S*\s+(.*)$", 1), F.lit("")).alias("comment"),
-        F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"),
+        F.regexp_replace(F.regexp_replace("record", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"),
     )
 
 
+def first_records(records: DataFrame) -> DataFrame:
+    """The first record of each file of `read`."""
+    return records.where("ordinal = 0")
+
+
 def write_fasta(df: DataFrame, path: str, width: int = 80) -> None:
     """(name, comment, seq) as FASTA text."""
     head = F.concat(F.lit(">"), F.col("name"), F.coalesce(F.concat(F.lit(" "), F.col("comment")), F.lit("")))

@@ -19,13 +19,22 @@ def hll_registers(stream: DataFrame, p: HllParams = HllParams()) -> DataFrame:
 
 
 def minhash_sketches(stream: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
-    """(id, hashes), the sketch of each id that got new rows; write in update mode. State is one sketch for each id."""
+    """(id, hashes, multiplicities), the sketch of each id that got new rows; write in update mode. State is one sketch for each id.
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = np.array(state.get[0], np.int64) if state.exists else np.zeros(0, np.int64)
-        fresh = [f["hash"].to_numpy(np.int64) for f in frames]
-        least = np.unique(np.concatenate([held, *fresh]).view(np.uint64))[: p.size].view(np.int64)
-        state.update((least.tolist(),))
-        yield pd.DataFrame({"id": [key[0]], "hashes": [least.tolist()]})
+    A hash's multiplicity counts from when it entered the sketch for good; a hash that left and came back, which
+    takes p.size lesser ones between, cannot be told from a new one, but then it leaves again.
+    """
 
-    return minhash.hashed(stream, p).groupBy("id").applyInPandasWithState(update, "id long, hashes array<long>", "hashes array<long>", "update", GroupStateTimeout.NoTimeout)
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [np.array(x, np.int64) for x in state.get] if state.exists else [np.zeros(0, np.int64)] * 2
+        for f in frames:
+            every = np.concatenate((held[0], f["hash"].to_numpy(np.int64))).view(np.uint64)
+            n = np.concatenate((held[1], f["n"].to_numpy(np.int64)))
+            least, at = np.unique(every, return_inverse=True)
+            summed = np.bincount(at, weights=n, minlength=len(least)).astype(np.int64)
+            held = [least[: p.size].view(np.int64), summed[: p.size]]
+        state.update(tuple(x.tolist() for x in held))
+        yield pd.DataFrame({"id": [key[0]], "hashes": [held[0].tolist()], "multiplicities": [held[1].tolist()]})
+
+    kept = "hashes array<long>, multiplicities array<long>"
+    return minhash.hashed(stream, p).groupBy("id").applyInPandasWithState(update, f"id long, {kept}", kept, "update", GroupStateTimeout.NoTimeout)

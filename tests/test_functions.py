@@ -1,3 +1,5 @@
+import collections
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -46,10 +48,14 @@ def test_leading_zeros():
     assert hashing.leading_zeros(np.array(values, np.uint64)).tolist() == [64 - v.bit_length() for v in values]
 
 
-def test_other_mixers_are_bijective_on_a_sample():
+def test_other_mixers():
     x = np.arange(20_000)
-    for f in (hashing.fmix32, hashing.mueller32, hashing.six_rounds32, hashing.splitmix64, hashing.fmix64):
+    for f in (hashing.fmix32, hashing.mueller32, hashing.jenkins32, hashing.splitmix64, hashing.fmix64):
         assert len(np.unique(f(x))) == len(x)
+    # Known values: the first outputs of splitmix64 for seed 0 are the finaliser of multiples of the golden ratio.
+    golden = np.array([0x9E3779B97F4A7C15, 2 * 0x9E3779B97F4A7C15 % 2**64], np.uint64)
+    assert [hex(int(v)) for v in hashing.splitmix64(golden)] == ["0xe220a8397b1dcdaf", "0x6e789e6aa1b965f4"]
+    assert int(hashing.fmix32(np.array([1]))[0]) == 0x514E28B7 and int(hashing.fmix64(np.array([1]))[0]) == 0xB456BCFC34C2CB2C
     assert hashing.halve64(np.arange(5, dtype=np.uint64)).dtype == np.uint32
 
 
@@ -65,9 +71,25 @@ def test_strands():
 
 def test_columns(spark):
     df = spark.createDataFrame([("ACGTN",), ("acg",), ("",), (None,)], "seq string")
-    got = df.select(kmers.reverse_complement(F.col("seq")), kmers.kmers(F.col("seq"), 4), kmers.upper(F.col("seq"))).collect()
-    assert got[0][0] == "CACGT" and got[0][1] == ["ACGT", "CGTN"]
-    assert got[1][1] == [] and got[2][1] == [] and got[1][2] == "ACG"
+    got = df.select(kmers.reverse_complement(F.col("seq")), kmers.upper(F.col("seq"))).collect()
+    assert got[0][0] == "CACGT" and got[1][1] == "ACG" and got[3][0] is None
+
+
+def test_kmers_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "SLICE", 7)
+    rows = [(1, "ACGTNACGTTTGACCATGACCA"), (2, "acgtACGT"), (3, "AC"), (4, ""), (5, None), (6, "ACGé日本ACGTé")]
+    df = spark.createDataFrame(rows, "id long, seq string")
+    cut = lambda s, k: [s[i : i + k] for i in range(len(s) - k + 1)]
+    got = [tuple(r) for r in kmers.each_kmer(df, 4).collect()]
+    assert sorted(got) == sorted((i, p + 1, w) for i, s in rows for p, w in enumerate(cut(s or "", 4)))
+    assert kmers.each_kmer(df, 4, drop_last=1).where("id = 2").count() == 4
+    flip = lambda w: w[::-1].translate(str.maketrans("ACGTN", "TGCAC"))
+    ascii_rows = [(i, (s or "").upper()) for i, s in rows if i != 6]
+    want = collections.Counter((i, min(w, flip(w))) for i, s in ascii_rows for w in cut(s, 4))
+    plain = df.where("id <> 6")
+    assert {(r["id"], r["kmer"]): r["n"] for r in kmers.count_kmers(plain, 4, True).collect()} == want
+    total = collections.Counter(w for i, s in ascii_rows for w in cut(s, 4))
+    assert {r["kmer"]: r["n"] for r in kmers.count_kmers(plain, 4, False, strands=False).collect()} == total
 
 
 def test_sql_functions(spark):

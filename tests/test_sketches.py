@@ -90,14 +90,61 @@ def test_hll(seqs):
     assert short == 0 and hll.registers(seqs.where("id = 5"), HllParams(p=8, k=4, drop_last=False)).count() == 1
 
 
-def test_mle_of_random_registers():
-    rng = np.random.default_rng(1)
-    idx, rank = hll.place(rng.integers(0, 2**64, 10_000, np.uint64), 10)
-    regs = np.zeros(1024, int)
+def random_counts(n: int, p: int, seed: int) -> np.ndarray:
+    idx, rank = hll.place(np.random.default_rng(seed).integers(0, 2**64, n, np.uint64), p)
+    regs = np.zeros(1 << p, int)
     np.maximum.at(regs, idx, rank)
-    c = np.bincount(regs, minlength=56).astype(float)
-    assert abs(hll.likely_estimate(c, 1024, 54) - 10_000) < 1000
-    assert hll.likely_estimate(np.bincount(np.zeros(1024, int), minlength=56).astype(float), 1024, 54) == 0
+    return np.bincount(regs, minlength=64 - p + 2)
+
+
+def log_likelihood(counts: np.ndarray, n: float) -> float:
+    m, top = counts.sum(), len(counts) - 1
+    below = [math.exp(-n / m / 2**k) for k in range(top)] + [1.0]
+    return sum(c * math.log(b - a) for c, a, b in zip(counts, [0.0, *below], below) if c)
+
+
+def test_likelihood_is_greatest_at_the_estimate():
+    for n in (1, 7, 300, 10_000, 400_000):
+        for p in (4, 8, 10):
+            c = random_counts(n, p, n)
+            x = float(hll.likely_estimates(c[None])[0])
+            # A golden-section search of the likelihood itself.
+            lo, hi = x / 2, x * 2
+            for _ in range(80):
+                a, b = hi - (hi - lo) * 0.6180339887498949, lo + (hi - lo) * 0.6180339887498949
+                lo, hi = (lo, b) if log_likelihood(c, a) > log_likelihood(c, b) else (a, hi)
+            assert x == pytest.approx((lo + hi) / 2, rel=1e-5)
+            assert abs(x - n) < max(6 * n / math.sqrt(1 << p), 3)
+
+
+def test_estimates_at_the_ends():
+    empty, full = np.zeros((1, 58)), np.zeros((1, 58))
+    empty[0, 0] = full[0, 57] = 256
+    assert hll.likely_estimates(empty)[0] == 0 and hll.likely_estimates(full)[0] == np.inf
+    assert hll.improved_estimates(empty)[0] == 0 and np.isinf(hll.improved_estimates(full)[0])
+    top = np.zeros((1, 58))
+    top[0, 56], top[0, 57] = 255, 1
+    assert 1e17 < hll.likely_estimates(top)[0] < 1e20 and 1e17 < hll.improved_estimates(top)[0] < 1e20
+
+
+def test_improved_estimates_of_random_registers():
+    rows = np.stack([random_counts(n, 10, n) for n in (10, 1000, 50_000)])
+    for x, n in zip(hll.improved_estimates(rows), (10, 1000, 50_000)):
+        assert abs(x - n) < 0.15 * n + 2
+
+
+def test_joint_estimate_of_known_overlap(spark):
+    rng = np.random.default_rng(4)
+    shared, a, b = (rng.integers(0, 2**64, n, np.uint64) for n in (3000, 2000, 1000))
+    rows = []
+    for i, values in ((1, np.concatenate((shared, a))), (2, np.concatenate((shared, b)))):
+        idx, rank = hll.place(values, 10)
+        regs = np.zeros(1024, int)
+        np.maximum.at(regs, idx, rank)
+        rows += [(i, k, int(r)) for k, r in enumerate(regs.tolist()) if r]
+    regs = spark.createDataFrame(rows, "id long, idx int, rank int")
+    got = hll.jaccard(regs, spark.createDataFrame([(1, 2)], "i long, j long"), 10).first()
+    assert got["jaccard"] == pytest.approx(0.5, abs=0.08) and got["both"] == pytest.approx(3000, rel=0.15) and got["only_i"] == pytest.approx(2000, rel=0.25)
 
 
 def plain_minimizers(seq: str, k: int, w: int) -> set[int]:
@@ -169,3 +216,70 @@ def test_matrix_and_phylip(spark, seqs):
     assert len(rows) == 3 and all(0 <= r[c] <= 1 for r in rows for c in ("weighted", "minhash", "order"))
     lines = {r["id"]: r["line"] for r in compare.phylip(some, compare.minhash_measures(minhash.sketch(some, P), P)).collect()}
     assert lines[None] == "3" and lines[1] == "1" and lines[2] == "2 0.000000" and len(lines[3].split()) == 3
+
+
+def test_candidate_pairs_in_blocks(spark):
+    rng = random.Random(6)
+    rows = [(i, h) for i in range(40) for h in rng.sample(range(60), 6)] + [(i, 999) for i in range(40)] + [(100 + i, 7000 + h) for i in range(5) for h in range(9)]
+    df = spark.createDataFrame(rows, "id long, hash long")
+    of = {}
+    for i, h in rows:
+        of.setdefault(i, set()).add(h)
+    want = {(i, j): len(of[i] & of[j]) for i in of for j in of if i < j and of[i] & of[j]}
+    for block in (compare.BLOCK, 7):
+        assert {(r["i"], r["j"]): r["shared"] for r in compare.candidate_pairs(df, block).collect()} == want
+    ids = df.select("id").unionByName(spark.createDataFrame([(None,)], "id long"))
+    every = [(r["i"], r["j"]) for r in compare.all_pairs(ids, blocks=4).collect()]
+    assert sorted(every) == [(i, j) for i in sorted(of) for j in sorted(of) if i < j]
+    assert compare.candidate_pairs(df.limit(0)).count() == 0 and compare.all_pairs(df.limit(0)).count() == 0
+
+
+def test_sketches_carry_their_parameters(spark, seqs, tmp_path):
+    from sketchloom import storage
+
+    made = {"mh": minhash.sketch(seqs, P), "hl": hll.registers(seqs, HllParams(p=8, k=11)), "om": order.sketch(seqs, OrderParams(k=9, m=4)), "empty": minhash.sketch(seqs.limit(0), P)}
+    for name, sketch in made.items():
+        storage.save(sketch, str(tmp_path / name))
+        again = storage.load(spark, str(tmp_path / name))
+        assert storage.params_of(again) == storage.params_of(sketch) is not None
+    again = storage.load(spark, str(tmp_path / "mh"))
+    other = minhash.sketch(seqs, MinHashParams(k=12, size=50))
+    for call in (lambda: minhash.merge(again, other, P), lambda: compare.minhash_measures(other, P), lambda: hll.merge(made["hl"], hll.registers(seqs, HllParams(p=9, k=11)))):
+        with pytest.raises(ValueError):
+            call()
+    assert compare.minhash_measures(again, P).count() > 0
+    with pytest.raises(ValueError):
+        P.check(HllParams())
+
+
+def test_equal_order_sketches(spark):
+    df = spark.createDataFrame([(1, dna(100, 1)), (2, dna(100, 1)), (3, dna(100, 2)), (4, "A"), (5, "A")], "id long, seq string")
+    sketches = order.sketch(df, OrderParams(k=9, m=6, reverse=True))
+    got = {(r["i"], r["j"]): r["equal"] for r in order.equal(sketches, compare.all_pairs(df)).collect()}
+    assert got[(1, 2)] and got[(4, 5)] and not got[(1, 3)] and not got[(1, 4)]
+
+
+def test_rolling_registers_with_other_letters():
+    r = random.Random(12)
+    code = {"A": 0, "C": 1, "G": 2, "T": 3}
+    for k in (1, 2, 5, 31):
+        seq = "".join(r.choices("ACGTN", k=90))
+        f, b, want = 0, 0, []
+        for i, c in enumerate(seq):
+            c = code.get(c, 4)
+            f = (f << 2 | c) & ((1 << 2 * k) - 1)
+            b = b >> 2 | (3 ^ c) << 2 * (k - 1)
+            if i >= k - 1:
+                want.append((f, b))
+        got = weighted._strands(np.frombuffer(seq.encode(), np.uint8), k)
+        assert list(zip(*(x.tolist() for x in got))) == want
+
+
+def test_p_value_is_the_binomial_tail(spark):
+    rows = [(x, s, 900.0 * s, 40_000.0) for s in (5, 20) for x in range(s + 1)] + [(3, 5, 0.0, 10.0)]
+    df = spark.createDataFrame(rows, "x long, s long, a double, b double")
+    for (x, s, a, b), v in zip(rows, [r[0] for r in df.select(minhash.p_value(F.col("x"), F.col("s"), F.col("a"), F.col("b"), 8)).collect()]):
+        p, q = a / (a + 4**8), b / (b + 4**8)
+        rate = p * q / (p + q - p * q)
+        want = sum(math.comb(s, i) * rate**i * (1 - rate) ** (s - i) for i in range(x, s + 1)) if rate else float(x == 0)
+        assert v == pytest.approx(min(1, want), rel=1e-9)

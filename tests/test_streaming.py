@@ -21,6 +21,11 @@ def test_streams_agree_with_batches(spark, tmp_path):
     for r in spark.table("mh").collect():
         got[r["id"]] = got.get(r["id"], set()) | set(r["hashes"])
     assert all(want[k] <= got[k] for k in want)
+    last = {r["id"]: dict(zip(r["hashes"], r["multiplicities"])) for r in sorted(spark.table("mh").collect(), key=lambda r: sum(r["multiplicities"]))}
+    for r in minhash.sketch(whole, MinHashParams(k=5, size=1000)).collect():
+        if r["hash"] in last[r["id"]]:
+            assert last[r["id"]][r["hash"]] <= r["multiplicity"]
+    assert sum(last[2].values()) == sum(r["multiplicity"] for r in minhash.sketch(whole, p).collect() if r["id"] == 2)
     top = {(r["id"], r["idx"]): r["rank"] for r in hll.registers(whole, h).collect()}
     seen = {}
     for r in spark.table("hl").collect():
