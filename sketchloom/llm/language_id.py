@@ -222,12 +222,13 @@ def bucket(column: str, n: int) -> Column:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Model, Calibration]:
-    """docs: doc_id, text, lang. Rows with a null in text or lang teach nothing."""
+    """docs: doc_id, text, lang. Rows with a null in text or lang teach nothing. Rows that share doc_id and lang are one document of the sample, with the least of their texts."""
     docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, sample / n)) for k, n in counts.items()], F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(10 << 16))
-    chosen = docs.where(draw < share * (10 << 16)).withColumn("calibrates", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.lit(10)) < CALIBRATION)
+    picked = docs.where(draw < share * (10 << 16)).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    chosen = picked.withColumn("calibrates", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.lit(10)) < CALIBRATION)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

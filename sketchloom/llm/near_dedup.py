@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.llm import kernels as K
 from sketchloom.llm.components import components
-from sketchloom.llm.shared import BINARY, LONG, documents, row_key, schema, stored
+from sketchloom.llm.shared import BINARY, LONG, documents, drop_stored, row_key, schema, stored
 
 CHUNK = 4
 MISS = 1e-5
@@ -290,6 +290,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     repeated = signed.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id")
     split = signed.join(repeated, "doc_id").where("n_shingles > 0").join(classes.select("n_shingles", "f1", "f2", "rep"), ["n_shingles", "f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(edges.unionByName(split))
+    drop_stored(members, buckets)
     with_class = signed.drop("signature").join(classes.select("n_shingles", "f1", "f2", "rep"), ["n_shingles", "f1", "f2"], "left")
     joined = with_class.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "rep", "doc_id"))

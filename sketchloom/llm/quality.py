@@ -31,6 +31,8 @@ SAMPLE = 2500
 #: Features in fewer documents of the sample get no weight.
 LEAST_DOCS = 5
 KEEP = 0.25
+#: Most steps for one set of features, most sets, features that join a set at once, and the slope that counts as none.
+STEPS, ROUNDS, MORE, TOLERANCE = 200, 30, 500, 1e-6
 #: First bytes of a word that are features too.
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -101,12 +103,87 @@ class Model:
         return logistic((total[at[1:]] - total[at[:-1]])[:, None] - self.thresholds)
 
 
-def fit(feature: np.ndarray, at: np.ndarray, grade: np.ndarray, steps: int = 250, rate: float = 0.15, decay: float = 1e-5, sparse: float = 1e-3) -> Model:
-    """Maximum likelihood of the cumulative-link model, grades weighted alike, by projected Adam over the whole sample.
+class Objective:
+    """The penalised likelihood of the cumulative-link model, grades weighted alike, over weights and two numbers that make the thresholds.
+
+    x: weights, all at most 0; the first threshold; the logarithm of the second's distance from it. With weights at most 0
+    the L1 penalty is linear, so the objective is smooth where it is defined.
+    """
+
+    def __init__(self, doc: np.ndarray, column: np.ndarray, grade: np.ndarray, size: int, decay: float, sparse: float):
+        self.doc, self.column, self.grade, self.size, self.decay, self.sparse = doc, column, grade, size, decay, sparse
+        counts = np.bincount(grade, minlength=GRADES)
+        self.each = (len(grade) / (np.count_nonzero(counts) * np.maximum(counts, 1)))[grade] / len(grade)
+
+    def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        """The value at x and its gradient."""
+        grade, each, w = self.grade, self.each, x[:-2]
+        t = np.array([-np.inf, x[-2], x[-2] + np.exp(x[-1]), np.inf])
+        score = np.bincount(self.doc, weights=w[self.column], minlength=len(grade))
+        low, high = logistic(score - t[grade]), logistic(score - t[grade + 1])
+        p = np.maximum(low - high, 1e-12)
+        value = -(each * np.log(p)).sum() + self.decay / 2 * (w @ w) - self.sparse * w.sum()
+        by_score = -(1 - low - high) * each
+        g = np.empty_like(x)
+        g[:-2] = np.bincount(self.column, weights=by_score[self.doc], minlength=self.size) + self.decay * w - self.sparse
+        by_low, by_high = low * (1 - low) / p * each, -high * (1 - high) / p * each
+        first = by_low[grade == 1].sum() + by_high[grade == 0].sum()
+        second = by_low[grade == 2].sum() + by_high[grade == 1].sum()
+        g[-2], g[-1] = first + second, second * np.exp(x[-1])
+        return float(value), g
+
+
+def minimise(f: Objective, x: np.ndarray, steps: int, tolerance: float = TOLERANCE, memory: int = 8) -> np.ndarray:
+    """Projected quasi-Newton: limited-memory BFGS over the weights that may move, halved steps back onto weights of at most 0."""
+    bounded = np.ones(len(x), bool)
+    bounded[-2:] = False
+    value, g = f(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        # A weight at 0 whose gradient is negative would have to rise, so it stays.
+        free = ~bounded | (x < 0) | (g > 0)
+        if np.abs(g[free]).max(initial=0) < tolerance:
+            break
+        d = np.where(free, g, 0.0)
+        used = []
+        for s, y in reversed(past):
+            s, y = np.where(free, s, 0.0), np.where(free, y, 0.0)
+            if (curve := s @ y) > 1e-14:
+                a = (s @ d) / curve
+                d -= a * y
+                used.append((s, y, a, curve))
+        if used:
+            d *= used[0][3] / (used[0][1] @ used[0][1])
+        else:
+            d /= max(1.0, np.abs(d).sum())
+        for s, y, a, curve in reversed(used):
+            d += s * (a - (y @ d) / curve)
+        d = np.where(free, d, 0.0)
+        if g @ d <= 0:
+            d, past = np.where(free, g, 0.0), []
+        rate = 1.0
+        while True:
+            new = x - rate * d
+            np.minimum(new[:-2], 0, out=new[:-2])
+            after, slope = f(new)
+            if after <= value - 1e-4 * (g @ (x - new)) or rate < 1e-10:
+                break
+            rate /= 2
+        past = [*past, (new - x, slope - g)][-memory:]
+        done = value - after < tolerance * 1e-3 * max(1.0, abs(value))
+        x, value, g = new, after, slope
+        if done:
+            break
+    return x
+
+
+def fit(feature: np.ndarray, at: np.ndarray, grade: np.ndarray, steps: int = STEPS, decay: float = 1e-5, sparse: float = 1e-3) -> Model:
+    """Maximum likelihood of the cumulative-link model, grades weighted alike, over the whole sample.
 
     Weights are at most 0: features speak against a document, never for it, so a short text with few
     features is as good as the thresholds say, and no amount of plain prose makes up for an insult. `sparse`
-    and `decay` are the weights' L1 and L2 penalties.
+    and `decay` are the weights' L1 and L2 penalties. Few weights differ from 0, so the steps are over those features that
+    would leave 0 at the solution for the others, until there are none: the solution is that over all features.
     """
     if not len(grade):
         return Model(feature[:0], np.zeros(0), np.array([-5.0, -3.35]))
@@ -118,38 +195,33 @@ def fit(feature: np.ndarray, at: np.ndarray, grade: np.ndarray, steps: int = 250
     doc = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(at))[use]
     column = np.searchsorted(active, feature[use]).astype(np.int32)
     del use
-    counts = np.bincount(grade, minlength=GRADES)
-    each = (len(grade) / (np.count_nonzero(counts) * np.maximum(counts, 1)))[grade] / len(grade)
     x = np.zeros(len(active) + 2)
-    x[-2:] = -5.0, 0.5  # the first threshold, and the logarithm of the second's distance from it
-    m, v = np.zeros_like(x), np.zeros_like(x)
-    for step in range(1, steps + 1):
-        t = np.array([-np.inf, x[-2], x[-2] + np.exp(x[-1]), np.inf])
-        score = np.bincount(doc, weights=x[column], minlength=len(grade))
-        low, high = logistic(score - t[grade]), logistic(score - t[grade + 1])
-        p = np.maximum(low - high, 1e-9)
-        by_score = -(1 - low - high) * each
-        g = np.empty_like(x)
-        g[:-2] = np.bincount(column, weights=by_score[doc], minlength=len(active)) + decay * x[:-2] - sparse
-        by_low, by_high = low * (1 - low) / p * each, -high * (1 - high) / p * each
-        first = by_low[grade == 1].sum() + by_high[grade == 0].sum()
-        second = by_low[grade == 2].sum() + by_high[grade == 1].sum()
-        g[-2], g[-1] = first + second, second * np.exp(x[-1])
-        m = 0.9 * m + 0.1 * g
-        v = 0.99 * v + 0.01 * g * g
-        x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        np.minimum(x[:-2], 0, out=x[:-2])
+    x[-2:] = -5.0, 0.5
+    every, inside = Objective(doc, column, grade, len(active), decay, sparse), np.zeros(len(active), bool)
+    for _ in range(ROUNDS):
+        slope = np.where(inside, 0.0, every(x)[1][:-2])
+        rising = np.flatnonzero(slope > TOLERANCE)
+        if not len(rising) and inside.any():
+            break
+        inside[rising[np.argsort(-slope[rising], kind="stable")][:MORE]] = True
+        some, places = inside[column], np.cumsum(inside, dtype=np.int32) - 1
+        part = Objective(doc[some], places[column[some]], grade, int(inside.sum()), decay, sparse)
+        x[np.append(inside, [True, True])] = minimise(part, x[np.append(inside, [True, True])], steps)
     held = x[:-2] < 0
     return Model(active[held], x[:-2][held], np.array([x[-2], x[-2] + np.exp(x[-1])]))
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade) from quality and toxic; rows that lack one of the three columns are left out."""
-    return labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", F.when(F.col("toxic") != 0, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("grade"))
+    """(doc_id, grade) from quality and toxic; rows that lack one of the three columns are left out. Of several grades of a document the lowest counts."""
+    grade = F.when(F.col("toxic") != 0, 0).when(F.col("quality") == 0, 1).otherwise(2)
+    return labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
 def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on a hash sample of about `sample` graded documents of each grade, all where there are fewer."""
+    """Fit on a hash sample of about `sample` graded documents of each grade, all where there are fewer.
+
+    Rows that share a doc_id are one document of the sample, with the least of their texts.
+    """
     counts = {r["grade"]: r["n"] for r in grades.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     share = F.coalesce(*[F.when(F.col("grade") == g, min(1.0, sample / n)) for g, n in counts.items()]) if counts else F.lit(1.0)
     chosen = grades.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 20)) < share * (1 << 20)).select(F.col("doc_id").alias("d"), "grade")
@@ -162,7 +234,8 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> Model:
                 blobs = [feature[at[k] : at[k + 1]].tobytes() for k in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column("grade").slice(lo, hi - lo), pa.array(blobs, pa.binary())], names=["grade", "f"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).select("grade", "text").mapInArrow(extract, schema(grade=INT, f=BINARY)).collect()
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).groupBy("d", "grade").agg(F.min("text").alias("text"))
+    rows = picked.select("grade", "text").mapInArrow(extract, schema(grade=INT, f=BINARY)).collect()
     parts = [np.frombuffer(r["f"], np.int64) for r in rows]
     at = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
     return fit(np.concatenate(parts) if parts else np.zeros(0, np.int64), at, np.array([r["grade"] for r in rows], np.int64))

@@ -2,73 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import gc
-import re
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sketchloom.storage import drop_path, drop_stored, stored, table_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local master has a folder of its own where none is named."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = f"{tempfile.gettempdir()}/sketchloom-{spark.sparkContext.applicationId}"
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-@contextlib.contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
-def stored(df: DataFrame, name: str, *partition_by: str, group_bytes: int | None = None) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors. Spark drops the shuffle files behind it.
-
-    group_bytes: of a row group, which writers and readers hold at once; less than Spark's 128 MB for rows of megabytes.
-    """
-    spark = df.sparkSession
-    path = table_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    if group_bytes:
-        writer = writer.option("parquet.block.size", group_bytes)
-    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop_stored(*tables: DataFrame) -> None:
-    """Delete stored tables that no later job reads."""
-    for df in tables:
-        folders = {re.sub(r"^(.*/[^/]+-[0-9a-f]{32})/.*$", r"\1", f) for f in df.inputFiles()}
-        for folder in folders:
-            drop_path(df.sparkSession, folder)
+__all__ = ["ascii_lower", "documents", "drop_path", "drop_stored", "keeping", "others", "row_key", "schema", "stored", "table_path"]
 
 
 def others(df: DataFrame, *own: str) -> list[str]:
@@ -109,9 +51,3 @@ LONG, STRING, DOUBLE, BOOL, BINARY, INT = T.LongType(), T.StringType(), T.Double
 
 def schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of stages whose results were stored and which nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -268,7 +268,9 @@ def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int
         every = stored(stretches.where("hot = 1").mapInArrow(strings, schema(t1=LONG, t2=LONG, at=LONG, h1=LONG, h2=LONG, alone=INT)), "strings")
         often = every.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
         sorted_ = sorted_.unionByName(every.where("alone = 1").join(often, ["h1", "h2"], "left_semi").select("t1", "t2", "at"))
-    return settled.unionByName(sorted_)
+    marks = stored(settled.unionByName(sorted_), "repeat-marks")
+    drop_stored(among, known, counted, stretches)
+    return marks
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, gram: int = GRAM, split: int = SPLIT, segment: int = SEGMENT) -> DataFrame:

@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 import random
 import zlib
 
@@ -137,6 +138,18 @@ def test_pack_round_trip(spark):
     want = sorted([*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for _, t in rows)
     assert sorted(sum((ids for _, ids in sorted(p)), []) for p in by_doc.values()) == want
     assert packing.pack(table(spark, rows).limit(0), ["doc_id"], BPE).count() == 0
+    clash = table(spark, rows[:3]).withColumn("Offset", F.lit(7).cast("long"))
+    assert packing.pack(clash, ["doc_id", "Offset"], BPE).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_padding_of_real_documents(spark):
+    got = packing.query(spark, "/root/testdata/sf0.01").select("doc_id", "start", "length", "sequence_id", "offset").collect()
+    fill = collections.Counter()
+    for x in got:
+        fill[x["sequence_id"]] += x["length"]
+    assert max(fill.values()) <= 1024 and len({(x["sequence_id"], x["offset"]) for x in got}) == len(got)
+    assert sum(fill.values()) / (1024 * len(fill)) > 0.99
 
 
 # Language
@@ -181,6 +194,66 @@ def test_kneser_ney_sums_to_one():
         assert p.sum() + unknown == pytest.approx(1, abs=1e-5)
 
 
+class PlainKneserNey:
+    """Interpolated Kneser-Ney over characters by dictionaries."""
+
+    def __init__(self, texts, order=4):
+        self.order, self.tables = order, {}
+        counts = collections.Counter()
+        for t in texts:
+            padded = " " * (order - 1) + t
+            counts.update(padded[i : i + order] for i in range(len(t)))
+        self.symbols = {g[-1] for g in counts}
+        for n in range(order, 0, -1):
+            ones, twos = (sum(c == r for c in counts.values()) for r in (1, 2))
+            d = ones / (ones + 2 * twos) if ones and twos else 0.5
+            total, kinds = collections.Counter(), collections.Counter()
+            for g, c in counts.items():
+                total[g[:-1]] += c
+                kinds[g[:-1]] += 1
+            self.tables[n] = dict(counts), d, total, kinds
+            counts = collections.Counter(g[1:] for g in counts)
+
+    def p(self, gram, n=None):
+        n = self.order if n is None else n
+        if n == 0:
+            return 1 / (len(self.symbols) + 1)
+        counts, d, total, kinds = self.tables[n]
+        g = gram[-n:]
+        h = g[:-1]
+        if not total[h]:
+            return self.p(gram, n - 1)
+        return max(counts.get(g, 0) - d, 0) / total[h] + min(d, 1) * kinds[h] / total[h] * self.p(gram, n - 1)
+
+
+def test_kneser_ney_against_dictionaries():
+    from sketchloom.llm import kernels as K
+
+    r = random.Random(3)
+    say = lambda parts: " ".join("".join(r.choices(parts, k=r.randrange(1, 4))) for _ in range(40))
+    texts = {"x": [say(["ab", "ca", "b"]) for _ in range(6)], "y": [say(["de", "ba", "c"]) for _ in range(5)]}
+    counts = {k: np.unique(np.concatenate([language_id.grams(*K.utf8(pa.array([t])))[0] for t in v]), return_counts=True) for k, v in texts.items()}
+    model = language_id.Model(["x", "y"], counts)
+    plain = {k: PlainKneserNey(v) for k, v in texts.items()}
+    floor = 1 / (len({c for t in plain.values() for c in t.symbols}) + 1)
+    for t in plain.values():
+        t.p = lambda gram, n=None, t=t: floor if n == 0 else PlainKneserNey.p(t, gram, n)
+    asked = ["abab", " aba", "zzab", "   a", "caba", "qqqq", "edba", "b ca", "ab d"] + [t[i : i + 4] for v in texts.values() for t in v for i in range(0, 60, 7)]
+    packed = np.array([sum(ord(c) << 16 * (3 - k) for k, c in enumerate(g)) for g in asked], np.uint64)
+    got = np.exp(model.log_probabilities(packed))
+    for k, name in enumerate(("x", "y")):
+        assert got[:, k] == pytest.approx([plain[name].p(g) for g in asked], rel=1e-5)
+
+
+def test_equal_entropies_take_the_first_language(spark):
+    df = spark.createDataFrame([(k, "abc cab bca abc", lang) for k in range(40) for lang in ("bb", "aa")], "doc_id long, text string, lang string")
+    model, calibration = language_id.train(df)
+    clash = df.limit(3).withColumn("SCORE", F.lit(9).cast("long")).withColumn("kept_0", F.lit(4).cast("long"))
+    got = language_id.identify(clash, model, calibration, ["SCORE", "kept_0", "doc_id"])
+    assert got.columns == ["kept_0", "doc_id", "lang_pred", "score", "rejected", "cross_entropy"]
+    assert {(r["lang_pred"], r["kept_0"]) for r in got.collect()} == {("aa", 4)}
+
+
 def test_no_language_learned(spark, tongues):
     model, calibration = language_id.train(tongues.withColumn("lang", F.lit(None).cast("string")))
     got = language_id.identify(tongues, model, calibration, ["doc_id"]).collect()
@@ -223,6 +296,75 @@ def test_graded_quality(spark):
     assert quality.score(df.limit(0), empty).count() == 0 and quality.score(df, empty).where("kept").count() == len(docs)
 
 
+def small_problem(seed, docs=60, size=8):
+    r = np.random.default_rng(seed)
+    has = r.random((docs, size)) < 0.3
+    grade = np.clip(2 - has[:, 0] * 2 - has[:, 1] - (r.random(docs) < 0.1), 0, 2).astype(int)
+    doc, column = np.nonzero(has)
+    return quality.Objective(doc, column, grade, size, 1e-3, 2e-3), has, grade
+
+
+def test_gradient_of_the_likelihood():
+    f, _, _ = small_problem(1)
+    x = np.append(-np.random.default_rng(2).random(8), [-1.5, 0.4])
+    value, g = f(x)
+    for k in range(len(x)):
+        step = np.zeros(len(x))
+        step[k] = 1e-6
+        assert (f(x + step)[0] - f(x - step)[0]) / 2e-6 == pytest.approx(g[k], rel=1e-4, abs=1e-7)
+
+
+def test_fit_against_another_search():
+    for seed in range(3):
+        f, has, grade = small_problem(seed)
+        start = np.append(np.zeros(8), [-5.0, 0.5])
+        x = quality.minimise(f, start, 500, 1e-9)
+        assert (x[:-2] <= 0).all()
+        # Coordinate search with shrinking steps, without gradients.
+        y, step = start.copy(), 1.0
+        best = f(y)[0]
+        while step > 1e-7:
+            moved = False
+            for k in range(len(y)):
+                for sign in (1, -1):
+                    z = y.copy()
+                    z[k] += sign * step
+                    if k < 8:
+                        z[k] = min(z[k], 0)
+                    if (v := f(z)[0]) < best - 1e-13:
+                        y, best, moved = z, v, True
+            if not moved:
+                step /= 2
+        assert f(x)[0] == pytest.approx(best, abs=1e-5)
+        # What the value means: weighted likelihood of the grades.
+        t = np.array([-np.inf, x[-2], x[-2] + np.exp(x[-1]), np.inf])
+        score = has @ x[:-2]
+        p = [1 / (1 + math.exp(t[g] - s)) - 1 / (1 + math.exp(min(t[g + 1] - s, 700))) if g else 1 - 1 / (1 + math.exp(t[1] - s)) for s, g in zip(score, grade)]
+        weight = [len(grade) / (len(set(grade)) * (grade == g).sum()) / len(grade) for g in grade]
+        want = -sum(w * math.log(v) for w, v in zip(weight, p)) + 5e-4 * (x[:-2] @ x[:-2]) - 2e-3 * x[:-2].sum()
+        assert f(x)[0] == pytest.approx(want, rel=1e-9)
+
+
+def test_growing_sets_reach_the_solution_over_all_features(monkeypatch):
+    r = np.random.default_rng(5)
+    has = r.random((400, 60)) < 0.2
+    grade = np.clip(2 - has[:, :3].sum(1), 0, 2).astype(int)
+    at = np.concatenate(([0], np.cumsum(has.sum(1))))
+    feature = np.nonzero(has)[1].astype(np.int64) * 11
+    monkeypatch.setattr(quality, "MORE", 2)
+    a = quality.fit(feature, at, grade)
+    monkeypatch.setattr(quality, "MORE", 1000)
+    b = quality.fit(feature, at, grade)
+    assert a.feature.tolist() == b.feature.tolist() and a.weights == pytest.approx(b.weights, abs=2e-2) and a.thresholds == pytest.approx(b.thresholds, abs=2e-2)
+
+
+def test_scores_replace_columns_of_their_names(spark):
+    df = spark.createDataFrame([(1, "plain words", "x", 5)], "doc_id long, text string, KEPT string, grade int")
+    model = quality.train(df, quality.graded(spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")))
+    got = quality.score(df, model)
+    assert got.columns == ["doc_id", "text", "grade", "expected_grade", "p_not_toxic", "tail_prob", "kept"] and got.first()["kept"] is True
+
+
 # Neighbours
 
 
