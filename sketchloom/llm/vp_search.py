@@ -176,12 +176,12 @@ def build_index(vectors: DataFrame, k: int, shard_vectors: int = SHARD_VECTORS,
     sizes = vectors.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").take(1)
     dims, n = (sizes[0]["dims"], sizes[0]["n"]) if sizes else (0, 0)
     shards = max(1, -(-n // shard_vectors))
-    out = schema(shard=INT, nodes=BINARY, bounds=BINARY, points=BINARY, ids=BINARY, id_at=BINARY)
+    out = schema(shard=INT, zero=INT, nodes=BINARY, bounds=BINARY, points=BINARY, ids=BINARY, id_at=BINARY)
 
     def grow(key: tuple, table: pa.Table) -> pa.Table:
         flat = table["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
         tree = Tree.build(flat.reshape(-1, dims), table["vec_id"].to_numpy(), k + 1, leaf)
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([b], pa.binary()) for b in tree.pack())], names=out.names)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), *(pa.array([b], pa.binary()) for b in tree.pack())], names=out.names)
 
     # Rows of one id are dealt apart, as an id may have many vectors.
     dealt = vectors.where(F.size("embedding") == dims).withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"))
@@ -228,8 +228,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
 
     def of_block(block: int) -> DataFrame:
         # One row of at most about query_block vectors goes to all shards; it is never in the driver's own hands.
-        one = blocks.where(F.col("block") == block).select(F.col("block").alias("b"), "own", F.col("points").alias("asked"))
-        met = trees.withColumn("b", F.lit(block)).join(F.broadcast(one), "b").drop("b", "shard")
+        one = blocks.where(F.col("block") == block).select((F.col("block") - block).alias("zero"), "own", F.col("points").alias("asked"))
+        met = trees.join(F.broadcast(one), "zero").drop("zero", "shard")
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return met.mapInArrow(answer, out).withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
