@@ -20,6 +20,7 @@ from sketchloom.params import HllParams, MinHashParams, OrderParams, WeightedPar
 from sketchloom.plans import compare
 from sketchloom.sources import fastx
 from sketchloom.storage import load, params_of, same_params, save, stored, table_path
+from sketchloom.streaming import sketches as streams
 
 K = 21
 MH = MinHashParams(k=K, size=100)
@@ -507,3 +508,37 @@ def fasta_round_trip(spark, sf):
     path = table_path(spark, "fasta")
     fastx.write_fasta(docs.select(F.col("doc_id").cast("string").alias("name"), F.concat("lang", F.lit(" >"), "source").alias("comment"), seq.alias("seq")), path)
     return fastx.read_fasta_splits(spark, path)
+
+
+@_query("select doc_id::varchar as name, source as comment, regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g') as seq, repeat('@', length(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g'))) as qual from documents where doc_id is not null")
+def fastq_round_trip(spark, sf):
+    """Sequences written as compressed FASTQ and read again; qualities are marks that begin a header elsewhere."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id is not null")
+    seq = F.regexp_replace(F.coalesce("text", F.lit("")), "[^ACGTacgt]", "")
+    path = table_path(spark, "fastq")
+    made = docs.select(F.col("doc_id").cast("string").alias("name"), F.col("source").alias("comment"), seq.alias("seq"))
+    fastx.write_fastq(made.withColumn("qual", F.repeat(F.lit("@"), F.length("seq"))), path, "gzip")
+    return fastx.read(spark, path).select("name", "comment", "seq", F.coalesce("qual", F.lit("")).alias("qual"))
+
+
+# Streams
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """by_source, as a stream of the same files."""
+    kind = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    docs = spark.readStream.schema(kind).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/documents.parquet*")
+    return docs.select(F.substring("source", 4, 20).cast("long").alias("id"), km.acgt_only(F.col("text")).alias("seq"))
+
+
+@_query(f"{O.sketches(O.BY_SOURCE, K, MH.size)} select id, {O.SIGNED.format('h')} as hash, multiplicity::bigint as multiplicity from sk")
+def streaming_minhash(spark, sf):
+    found = streams.minhash_sketches(streamed(spark, sf), MH)
+    rows = streams.latest(streams.collected(found, table_path(spark, "stream"), table_path(spark, "stream-state")))
+    return rows.select("id", F.inline(F.arrays_zip(F.col("hashes").alias("hash"), F.col("multiplicities").alias("multiplicity"))))
+
+
+@_query(f"{O.registers(O.BY_SOURCE, HL.k, HL.p)} select * from regs")
+def streaming_hll(spark, sf):
+    rows = streams.collected(streams.hll_registers(streamed(spark, sf), HL), table_path(spark, "stream"), table_path(spark, "stream-state"))
+    return rows.groupBy("id", "idx").agg(F.max("rank").alias("rank"))

@@ -120,6 +120,12 @@ def write_fasta(df: DataFrame, path: str, width: int = 80) -> None:
     df.select(F.concat(head, F.lit("\n"), body).alias("value")).write.text(path)
 
 
+def write_fastq(df: DataFrame, path: str, compression: str = "none") -> None:
+    """(name, comment, seq, qual) as FASTQ text of four lines a record."""
+    head = F.concat(F.lit("@"), F.col("name"), F.coalesce(F.concat(F.lit(" "), F.col("comment")), F.lit("")))
+    df.select(F.concat_ws("\n", head, "seq", F.lit("+"), "qual").alias("value")).write.option("compression", compression).text(path)
+
+
 class FastxSource(DataSource):
     """`spark.read.format("fastx").load(path)` for files that the executors can open, one partition each."""
 

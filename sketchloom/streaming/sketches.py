@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sketchloom.operators import hll, minhash
@@ -21,8 +22,8 @@ def hll_registers(stream: DataFrame, p: HllParams = HllParams()) -> DataFrame:
 def minhash_sketches(stream: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
     """(id, hashes, multiplicities), the sketch of each id that got new rows; write in update mode. State is one sketch for each id.
 
-    A hash's multiplicity counts from when it entered the sketch for good; a hash that left and came back, which
-    takes p.size lesser ones between, cannot be told from a new one, but then it leaves again.
+    A hash that left a sketch never comes back, as there are p.size lesser ones from then on; so multiplicities are
+    those of all rows, as in a batch.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -38,3 +39,21 @@ def minhash_sketches(stream: DataFrame, p: MinHashParams = MinHashParams()) -> D
 
     kept = "hashes array<long>, multiplicities array<long>"
     return minhash.hashed(stream, p).groupBy("id").applyInPandasWithState(update, f"id long, {kept}", kept, "update", GroupStateTimeout.NoTimeout)
+
+
+def collected(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """What a stream in update mode has written once all that is there now was read: its rows and the batch they are from."""
+    spark = stream.sparkSession
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{path}/part={batch}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in stream.dtypes)}, batch long").parquet(path)
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """The last row of each id among those of `collected`."""
+    newest = F.max_by(F.struct(*[c for c in rows.columns if c not in ("id", "batch")]), "batch")
+    return rows.groupBy("id").agg(newest.alias("x")).select("id", "x.*")
