@@ -35,7 +35,9 @@ SLOP = 8
 #: Characters of test items in a block.
 BLOCK_CHARS = 16_000_000
 #: Bytes of documents in a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
+#: Of a row group of stored shards, whose rows have megabytes.
+GROUP_BYTES = 8 << 20
 #: Up to so many keys of 16 bytes are broadcast.
 BROADCAST_KEYS = 200_000
 
@@ -125,7 +127,7 @@ def build_index(docs: DataFrame, keep: list[str], vocabulary: np.ndarray | None
         if parts:
             yield shard(parts)
 
-    return stored(docs.select(*keep, "text").mapInArrow(build, out), "shards")
+    return stored(docs.select(*keep, "text").mapInArrow(build, out), "shards", group_bytes=GROUP_BYTES)
 
 
 class Shard:
@@ -243,7 +245,8 @@ def search(docs: DataFrame, items: DataFrame, keep: list[str], slop: int | None
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             win = windows.value
             for batch in batches:
-                for row in batch.to_pylist():
+                for number in range(batch.num_rows):
+                    row = batch.slice(number, 1).to_pylist()[0]
                     s = Shard(row, win.vocabulary)
                     w, p = s.occurrences(win.distinct)
                     marks = np.zeros(s.length + 1, np.int32)
@@ -299,7 +302,7 @@ def search(docs: DataFrame, items: DataFrame, keep: list[str], slop: int | None
         if last:
             return back(found)
         # One block's windows are held at a time; what was found goes on in the stored shards.
-        shards = stored(found, "shards")
+        shards = stored(found, "shards", group_bytes=GROUP_BYTES)
         sent.unpersist()
     raise AssertionError("there is always a block")
 

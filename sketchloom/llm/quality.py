@@ -191,10 +191,14 @@ def fit(feature: np.ndarray, at: np.ndarray, grade: np.ndarray, steps: int = STE
     first = K.grouped_starts(ordered)
     active = ordered[first[np.diff(np.append(first, len(ordered))) >= LEAST_DOCS]]
     del ordered, first
-    use = _within(active, feature)
-    doc = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(at))[use]
-    column = np.searchsorted(active, feature[use]).astype(np.int32)
-    del use
+    docs, columns = [], []
+    for lo in range(0, len(grade), 500):  # a part of the documents at a time, as few features are frequent
+        some = feature[at[lo] : at[min(lo + 500, len(grade))]]
+        use = np.flatnonzero(_within(active, some))
+        docs.append((np.searchsorted(at, use + at[lo], "right") - 1).astype(np.int32))
+        columns.append(np.searchsorted(active, some[use]).astype(np.int32))
+    doc, column = np.concatenate(docs), np.concatenate(columns)
+    del docs, columns
     x = np.zeros(len(active) + 2)
     x[-2:] = -5.0, 0.5
     every, inside = Objective(doc, column, grade, len(active), decay, sparse), np.zeros(len(active), bool)
@@ -235,10 +239,15 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column("grade").slice(lo, hi - lo), pa.array(blobs, pa.binary())], names=["grade", "f"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).groupBy("d", "grade").agg(F.min("text").alias("text"))
-    rows = picked.select("grade", "text").mapInArrow(extract, schema(grade=INT, f=BINARY)).collect()
-    parts = [np.frombuffer(r["f"], np.int64) for r in rows]
-    at = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
-    return fit(np.concatenate(parts) if parts else np.zeros(0, np.int64), at, np.array([r["grade"] for r in rows], np.int64))
+    rows = picked.select("grade", "text").mapInArrow(extract, schema(grade=INT, f=BINARY)).toArrow()
+    at = np.zeros(len(rows) + 1, np.int64)
+    np.cumsum([f.as_buffer().size // 8 for f in rows["f"]], out=at[1:])
+    grade = rows["grade"].to_numpy().astype(np.int64)
+    feature = np.empty(at[-1], np.int64)
+    for k, f in enumerate(rows["f"]):
+        feature[at[k] : at[k + 1]] = np.frombuffer(f.as_buffer(), np.int64)
+    del rows
+    return fit(feature, at, grade)
 
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:
