@@ -35,7 +35,7 @@ from sketchloom.llm.shared import BINARY, LONG, documents, drop_stored, row_key,
 
 CHUNK = 4
 MISS = 1e-5
-BLOCK = 512
+BLOCK = 2048
 #: Bytes of the sets of a block, about. A larger set is a block's only one.
 BLOCK_BYTES = 32 << 20
 #: Members of a block that are compared with those of the bucket's other blocks at once.
