@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sketchloom.functions import hashing, kmers
 from sketchloom.operators import hll, minhash, order, weighted
 from sketchloom.params import HllParams, MinHashParams, OrderParams, WeightedParams
-from sketchloom.plans import compare
+from sketchloom.plans import compare, meetings
 
 P = MinHashParams(k=11, size=50)
 
@@ -283,3 +283,49 @@ def test_p_value_is_the_binomial_tail(spark):
         rate = p * q / (p + q - p * q)
         want = sum(math.comb(s, i) * rate**i * (1 - rate) ** (s - i) for i in range(x, s + 1)) if rate else float(x == 0)
         assert v == pytest.approx(min(1, want), rel=1e-9)
+
+
+def test_pairs_are_counted_where_they_meet(spark):
+    """No row of the plan is a pair before it is counted: shuffles carry sketches only, and copies are one unit."""
+    rng = random.Random(3)
+    texts = [dna(300, s) for s in range(12)]
+    rows = [(n, texts[n % 12][: rng.choice((200, 300))] + dna(rng.choice((0, 40)), 50 + n % 5)) for n in range(60)]
+    df = spark.createDataFrame(rows + [(100 + n, texts[0]) for n in range(30)] + [(None, texts[0])], "id long, seq string")
+    p = MinHashParams(k=11, size=30)
+    sketches = minhash.sketch(df, p).cache()
+    of = {}
+    for r in sketches.collect():
+        of.setdefault(r["id"], set()).add(r["hash"] % 2**64)
+    of.pop(None)
+    want = {}
+    for i in of:
+        for j in of:
+            if i < j and of[i] & of[j]:
+                top = set(sorted(of[i] | of[j])[: p.size])
+                want[(i, j)] = (len(of[i] & of[j] & top) / len(top), len(of[i] & of[j]) / min(len(of[i]), len(of[j])), len(of[i] & of[j]) / len(of[i] | of[j]))
+    measured = compare.minhash_measures(sketches, p)
+    assert not any(w in measured._jdf.queryExecution().toString() for w in ("Join", "Aggregate"))
+    assert {(r["i"], r["j"]): (r["jaccard"], r["containment"]) for r in measured.collect()} == {k: v[:2] for k, v in want.items()}
+    least = minhash.unsigned(F.col("hash"))
+    for size, order_by, at in ((None, None, 2), (p.size, least, 0)):
+        found = meetings.met(sketches, ("jaccard",), size, order_by, block=150).collect()
+        assert len(found) == len(want) and {(r["i"], r["j"]): r["jaccard"] for r in found} == {k: v[at] for k, v in want.items()}
+    named = sketches.select(F.concat(F.lit("s"), F.col("id")).alias("id"), F.struct(F.lit("x"), "hash").alias("hash"))
+    assert meetings.met(named, ("shared",)).count() == len(want)
+
+
+def test_slices_of_meetings(spark, monkeypatch):
+    """With slices and units of a few, the same pairs."""
+    from pyspark import cloudpickle
+
+    rows = [(i, h) for i in range(30) for h in range(i % 7, 12)]
+    df = spark.createDataFrame(rows, "id long, hash long")
+    of = {i: set(range(i % 7, 12)) for i in range(30)}
+    for name in ("STEP", "ROWS", "MEMBERS"):
+        monkeypatch.setattr(meetings, name, 3)
+    cloudpickle.register_pickle_by_value(meetings)  # so that workers have the same
+    try:
+        found = meetings.met(df, ("shared",)).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(meetings)
+    assert sorted((r["i"], r["j"], r["shared"]) for r in found) == [(i, j, len(of[i] & of[j])) for i in of for j in of if i < j]
