@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,29 +14,41 @@ from pyspark.sql.types import LongType, StringType
 from sketchloom.functions import hashing, kmers
 
 
+def _hashed(texts: pa.Array, of: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+    """A long for each text, from the rows of bytes of the texts of one length."""
+    data = texts.cast(pa.large_binary())
+    ends = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1, 8 * data.offset) if len(data) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+    some = data.is_valid().to_numpy(zero_copy_only=False)
+    length = np.where(some, np.diff(ends), -1)
+    out = np.zeros(len(data), np.int64)
+    for n in np.unique(length[some]).tolist():
+        at = np.flatnonzero(length == n)
+        together = len(at) and ends[at[-1]] - ends[at[0]] == n * (len(at) - 1)
+        rows = raw[ends[at[0]] : ends[at[0]] + n * len(at)].reshape(len(at), n) if together else raw[ends[at][:, None] + np.arange(n)].reshape(len(at), n)
+        out[at] = of(rows)
+    return pa.array(out, pa.int64(), mask=~some)
+
+
 def murmur64_of(texts: pd.Series, seed: int = 42) -> pd.Series:
-    """First word of the 128-bit hash of each text, as a signed long; texts of one length go together."""
-    raw = texts.map(lambda t: None if t is None else t.encode())
-    out = pd.Series([None] * len(raw), dtype="Int64")
-    for _, group in raw.dropna().groupby(raw.dropna().map(len)):
-        rows = np.frombuffer(b"".join(group), np.uint8).reshape(len(group), -1)
-        out.iloc[group.index] = hashing.murmur128(rows, seed)[0].view(np.int64)
-    return out
+    """`murmur64` of a series, with any seed."""
+    return pd.Series(_hashed(pa.array(texts, pa.string()), lambda rows: _word64(rows, seed)).to_pandas(types_mapper=None, integer_object_nulls=True), dtype="Int64")
 
 
-@F.pandas_udf(LongType())
-def murmur64(texts: pd.Series) -> pd.Series:
-    return murmur64_of(texts.reset_index(drop=True))
+def _word64(rows: np.ndarray, seed: int = 42) -> np.ndarray:
+    return hashing.murmur128(rows, seed)[0].view(np.int64)
 
 
-@F.pandas_udf(LongType())
-def murmur32(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def murmur64(texts: pa.Array) -> pa.Array:
+    """First word of the 128-bit hash of each text, as a signed long; texts of one length go together."""
+    return _hashed(texts, _word64)
+
+
+@F.arrow_udf(LongType())
+def murmur32(texts: pa.Array) -> pa.Array:
     """The 32-bit hash of each text, from 0 to 2^32 - 1; texts of one length go together."""
-    raw = texts.reset_index(drop=True).map(lambda t: None if t is None else t.encode())
-    out = pd.Series([None] * len(raw), dtype="Int64")
-    for _, group in raw.dropna().groupby(raw.dropna().map(len)):
-        out.iloc[group.index] = hashing.murmur32(np.frombuffer(b"".join(group), np.uint8).reshape(len(group), -1)).astype(np.int64)
-    return out
+    return _hashed(texts, lambda rows: hashing.murmur32(rows).astype(np.int64))
 
 
 def mixers(ids: DataFrame) -> DataFrame:

@@ -111,3 +111,33 @@ def test_parameters_are_checked(bad):
 
     with pytest.raises(ValueError):
         MinHashParams(**bad)
+
+
+def test_kmers_of_an_id_are_not_shuffled(spark):
+    """Only rows of ids that stand in several rows meet in a shuffle, and those with no id."""
+    alone = spark.createDataFrame([(1, "ACGTNACGTTTGACCATGACCA"), (2, "acgtACGT")], "id long, seq string")
+    counted = kmers.count_kmers(alone, 4, True)
+    assert "Exchange" not in counted._jdf.queryExecution().toString()
+    rows = [(1, "ACGTACGT"), (2, "ACGTT"), (1, "ACGTA"), (None, "ACGTA"), (None, "CCGTA")]
+    got = {(r["id"], r["kmer"]): r["n"] for r in kmers.count_kmers(spark.createDataFrame(rows, "id long, seq string"), 4, True, strands=False).collect()}
+    assert got == collections.Counter((i, s[p : p + 4]) for i, s in rows for p in range(len(s) - 3))
+
+
+@pytest.mark.parametrize("k", [1, 3, 21, 23, 33])
+def test_packed_kmers_and_others(monkeypatch, k):
+    """N and other letters, whose other strand is of A, C, G and T, in parts and in classes of a long row."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(k)
+    flip = lambda w: kmers.reverse_complement_bytes(np.frombuffer(w.encode(), np.uint8)).tobytes().decode()
+    spelt = lambda x: x["other"] or "".join("ACGT"[x["packed"] >> 2 * j & 3] if x["packed"] >= 0 else "ACGNT"[~x["packed"] >> 3 * j & 7] for j in range(k - 1, -1, -1))
+    rows = ["".join(r.choices(s, k=n)) for s in ("ACGT", "ACGTN", "acgtNXY") for n in (0, k, 5, 190)] + [None]
+    want = collections.Counter((i, min(w, flip(w))) for i, s in enumerate(rows) for w in ((s or "").upper()[p : p + k] for p in range(len(s or "") - k + 1)))
+    for part, whole in ((1 << 17, 1 << 21), (37, 50)):
+        monkeypatch.setattr(kmers, "SLICE", part)
+        monkeypatch.setattr(kmers, "WHOLE", whole)
+        batch = pa.RecordBatch.from_arrays([pa.array([9, *range(len(rows))]), pa.array(["ACGTACGT", *rows])], names=["id", "seq"]).slice(1)
+        found = [((x["id"], spelt(x)), x["n"]) for out in kmers._Counter(k, True, True)([batch]) for x in out.to_pylist()]
+        assert len(found) == len(want) and dict(found) == want
