@@ -1,8 +1,8 @@
 """Bottom-s MinHash sketches in long form (id, hash, multiplicity), and their measures.
 
 A hash is kept as the signed long of its 64 bits; where order matters the sign bit is turned, so that
-signed order is unsigned order. Tasks hash whole sequences and send at most `size` distinct hashes of each on; the
-rest is a sum and a ranked window, for which Spark limits groups before the shuffle.
+signed order is unsigned order. Tasks hash parts of bounded size, whatever the length of a sequence, and send of each id in a part
+only hashes that may be in its sketch; the rest is a sum and a ranked window, for which Spark limits groups before the shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from sketchloom.params import MinHashParams
 from sketchloom.storage import same_params, with_params
 
 _TURN = -(1 << 63)
+#: K-mers whose hashes a task holds at once.
+HELD = 1 << 20
 
 
 def unsigned(h: Column) -> Column:
@@ -33,21 +35,49 @@ def hash_windows(seq: np.ndarray, p: MinHashParams) -> np.ndarray:
     return hashing.murmur128(rows, p.seed)[0] if len(rows) else np.zeros(0, np.uint64)
 
 
+def fewest(owner: np.ndarray, hashes: np.ndarray, p: MinHashParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, hash, n): the distinct hashes of each owner that may be in its sketch, and how many there are.
+
+    Of some of an owner's hashes, `size` that are there min_copies times are in no place worse among all of them; so
+    what is greater than those is in no sketch.
+    """
+    order = np.argsort(hashes, kind="stable")
+    if len(owner) and owner.min() != owner.max():
+        order = order[np.argsort(owner[order], kind="stable")]
+    owner, hashes = owner[order], hashes[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(owner)))
+    owner, hashes = owner[first], hashes[first]
+    enough = np.append(0, np.cumsum(n >= p.min_copies))[: len(n)]
+    begin = np.ones(len(owner), bool)
+    begin[1:] = owner[1:] != owner[:-1]
+    at = np.flatnonzero(begin)
+    keep = enough - np.repeat(enough[at], np.diff(np.append(at, len(owner)))) < p.size
+    return owner[keep], hashes[keep], n[keep]
+
+
 def hashed(df: DataFrame, p: MinHashParams, id_type: str = "long") -> DataFrame:
-    """(id, hash, n): distinct hashes of each row of (id, seq). Only a row's least `size` when all multiplicities are admitted."""
-    keep = p.size if p.min_copies == 1 else None
+    """(id, hash, n) of (id, seq): of every HELD k-mers the hashes that may be in their ids' sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at, hashes, counts = batch.column("id"), [], [], []
-            for k, seq in enumerate(kmers.sequences(batch.column("seq"))):
-                h, n = np.unique(hash_windows(seq, p), return_counts=True)
-                at.append(np.full(len(h[:keep]), k))
-                hashes.append(h[:keep])
-                counts.append(n[:keep])
-            at = np.concatenate(at) if at else np.zeros(0, np.int64)
-            columns = [ids.take(pa.array(at, pa.int64())), pa.array(np.concatenate(hashes).view(np.int64) if len(at) else [], pa.int64()), pa.array(np.concatenate(counts) if len(at) else [], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "hash", "n"])
+            coded = batch.column("id").dictionary_encode(null_encoding="encode")
+            ids, of = coded.dictionary, coded.indices.to_numpy()
+            held, size = [], 0
+            for seq, starts, rows in kmers.spans(batch.column("seq"), p.k, kmers.SLICE):
+                held.append((of[rows], hash_windows(seq, p)[starts]))
+                size += len(starts)
+                if size >= HELD:
+                    yield out(ids, held)
+                    held, size = [], 0
+            if held:
+                yield out(ids, held)
+
+    def out(ids: pa.Array, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        owner, hashes, n = fewest(*(np.concatenate(x) for x in zip(*held)), p)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], names=["id", "hash", "n"])
 
     return df.select("id", "seq").mapInArrow(run, f"id {id_type}, hash long, n long")
 

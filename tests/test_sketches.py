@@ -329,3 +329,28 @@ def test_slices_of_meetings(spark, monkeypatch):
     finally:
         cloudpickle.unregister_pickle_by_value(meetings)
     assert sorted((r["i"], r["j"], r["shared"]) for r in found) == [(i, j, len(of[i] & of[j])) for i in of for j in of if i < j]
+
+
+def test_tasks_send_only_hashes_of_sketches(spark, monkeypatch):
+    """Rows of one id are merged before the shuffle, with any min_copies, and parts of a sequence count as one."""
+    few = [dna(40, s) for s in range(6)]
+    rows = [(n % 2 if n % 7 else None, few[n % 5] + dna(50, n)) for n in range(400)] + [(3, None), (3, "ACG")]
+    df = spark.createDataFrame(rows, "id long, seq string").coalesce(1)
+    every = {}
+    for i, s in rows:
+        for h in minhash.hash_windows(np.frombuffer((s or "").encode(), np.uint8), P).tolist():
+            counts = every.setdefault(i, {})
+            counts[h] = counts.get(h, 0) + 1
+    for copies in (1, 3):
+        p = MinHashParams(k=11, size=20, min_copies=copies)
+        assert minhash.hashed(df, p).count() <= 3 * (20 if copies == 1 else 2000)
+        want = sorted((str(i), h, n) for i, c in every.items() for h, n in sorted((h, n) for h, n in c.items() if n >= copies)[:20])
+        assert sorted((str(r["id"]), r["hash"] % 2**64, r["multiplicity"]) for r in minhash.sketch(df, p).collect()) == want
+    hashes = np.random.default_rng(1).integers(0, 50, 3000).astype(np.uint64)
+    owner = np.random.default_rng(2).integers(0, 3, 3000)
+    p = MinHashParams(k=11, size=4, min_copies=25)
+    kept = list(zip(*(x.tolist() for x in minhash.fewest(owner, hashes, p))))
+    for o in range(3):
+        n = np.bincount(hashes[owner == o].astype(int), minlength=50)
+        last = [h for h in range(50) if n[h] >= 25][:4][-1]
+        assert [x[1:] for x in kept if x[0] == o] == [(h, n[h]) for h in range(last + 1) if n[h]]
